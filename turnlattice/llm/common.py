@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -36,6 +37,12 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of stages that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(session: weakref.ref, path: str) -> None:
     spark = session()
     if spark is None or spark.sparkContext._jsc is None:
@@ -63,3 +70,13 @@ def crc_mod(column: str, n: int) -> Column:
 def row_ids(frame: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a number for each row. It holds within one plan; write the frame before it is read twice."""
     return frame.withColumn(name, F.monotonically_increasing_id())
+
+
+def octet_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for.
+
+    Fixed values of that format: these bytes stand for themselves, the others follow in order from U+0100 on.
+    """
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    return {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(others)}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlattice.llm import exact_names, line_spread, simhash, url_rules
+from turnlattice.llm import bpe_reuse, exact_names, line_spread, media_chunks, packing, simhash, suffix_dedup, url_rules
 from turnlattice.llm.common import documents
 
 
@@ -14,6 +15,18 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_columns(documents(spark, sf_dir))
+
+
+def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("_row")
 
@@ -22,11 +35,15 @@ def op7_exact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_names.exact_duplicates(documents(spark, sf_dir)).drop("_row")
 
 
+def op9_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_reuse.encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark, url_rules.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_spread, op6_simhash, op7_exact_names, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_spread, op3_suffix_dedup, op4_media_chunks, op5_sum_of_squares, op6_simhash, op7_exact_names, op9_bpe_reuse, op10_url_rules)}
 
 ORACLE_SQL = {
     "op2_line_spread": line_spread.ORACLE,
