@@ -6,8 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlattice.llm import bpe_reuse, exact_names, line_spread, media_chunks, packing, simhash, suffix_dedup, url_rules
-from turnlattice.llm.common import documents
+from turnlattice.llm import bpe_reuse, exact_names, language_id, line_spread, media_chunks, packing, simhash, suffix_dedup, toxicity, url_rules
+from turnlattice.llm.common import crc_mod, documents
+
+
+def op1_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(language_id.training(docs))
+    return language_id.identified(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,12 @@ def op7_exact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_names.exact_duplicates(documents(spark, sf_dir)).drop("_row")
 
 
+def op8_sentence_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.scored(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_offending", "worst_sentence")
+
+
 def op9_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +55,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark, url_rules.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_spread, op3_suffix_dedup, op4_media_chunks, op5_sum_of_squares, op6_simhash, op7_exact_names, op9_bpe_reuse, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_centroids, op2_line_spread, op3_suffix_dedup, op4_media_chunks, op5_sum_of_squares, op6_simhash, op7_exact_names, op8_sentence_bags, op9_bpe_reuse, op10_url_rules)}
 
 ORACLE_SQL = {
     "op2_line_spread": line_spread.ORACLE,
