@@ -1 +1 @@
-"""See the modules."""
+"""Scalar functions as column expressions: dice, scores, 32-bit hashes, statistics."""

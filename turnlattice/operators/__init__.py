@@ -1 +1 @@
-"""See the modules."""
+"""Relational operators: the dice universe, reachable states, actions, statistics, estimands."""

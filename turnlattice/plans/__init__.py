@@ -1 +1 @@
-"""See the modules."""
+"""Multi-stage plans: the layered solve, play, and verification."""
