@@ -27,7 +27,7 @@ from turnlattice.llm import chunks
 from turnlattice.llm.common import octet_of, row_ids, utf8, written
 
 #: Words that a task remembers at most.
-MEMO = 500_000
+MEMO = 200_000
 _ODD = re.compile(r"[\x1c-\x1f]")  # white space to Python, but not to Unicode
 _WHITE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)")
