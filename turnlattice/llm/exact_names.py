@@ -4,8 +4,10 @@ Every text is cut into blocks of a fixed size. All blocks of the corpus are sort
 integer name. Adjacent names of a document are then paired, the pairs sorted and named again, until one name is left
 for each document. Names are ranks in a sort of the contents themselves, so that no hash can collide.
 
-The sort is split by range on (content, row), so that a block which a third of all documents share is spread over as
-many tasks as its rows fill; only the first and the last key of each partition go to the driver, two rows a partition.
+Blocks are sorted by (hash, content), so that range bounds are sampled from hashes and not from contents. The sort is split
+by range on (hash, row), so that a block which a third of all documents share is spread over as many tasks as its rows
+fill; only the first and the last key of each partition go to the driver, in a row a partition. If different blocks of one
+hash meet such a split, the sort is done again by content.
 """
 
 from __future__ import annotations
@@ -21,61 +23,65 @@ from pyspark.sql import types as T
 
 from turnlattice.llm.common import partitions, row_ids, utf8, written
 
-BLOCK_BYTES = 2048
+BLOCK_BYTES = 1024
 
 
 def _local_names(keys: list[str]):
-    """Names within one sorted partition: the number of different keys before; then a row with the partition's edges."""
+    """Names within one sorted partition: the number of different keys before; then a row with the partition's edges.
+
+    _mixed: different keys share the first of `keys` at an edge of the partition.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, first, count, schema = TaskContext.get().partitionId(), None, None, 0, None
+        part, last, first, count, kept = TaskContext.get().partitionId(), None, None, 0, None
+        clashes: set = set()
+        names = ["_part", "_local", "_mixed", *(f"_first_{k}" for k in keys), *(f"_last_{k}" for k in keys)]
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             columns = [batch.column(k) for k in keys]
-            edges = [[c[i].as_py() for c in columns] for i in (0, batch.num_rows - 1)]
-            fresh = [edges[0] != last]
-            if batch.num_rows > 1:
-                step = None
-                for c in columns:
-                    other = pc.not_equal(c.slice(1), c.slice(0, batch.num_rows - 1))
-                    step = other if step is None else pc.or_(step, other)
-                fresh += step.to_pylist()
-            local = pc.add(pc.cumulative_sum(pa.array(fresh).cast(pa.int64())), count - 1)
+            edges = [[c[i].as_py() for c in columns] for i in (0, n - 1)]
+            steps = [pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in columns]
+            step = steps[0]
+            for other in steps[1:]:
+                step = pc.or_(step, other)
+            clashes.update(columns[0].slice(1).filter(pc.and_not(step, steps[0])).to_pylist())
+            if last is not None and edges[0] != last and edges[0][0] == last[0]:
+                clashes.add(last[0])
+            fresh = pa.concat_arrays([pa.array([edges[0] != last]), step])
+            local = pc.add(pc.cumulative_sum(fresh.cast(pa.int64())), count - 1)
             first, last, count = first or edges[0], edges[1], local[-1].as_py() + 1
-            kept = [(f, batch.column(f)) for f in batch.schema.names if f not in keys]
-            schema = pa.schema([(f, c.type) for f, c in kept])
-            none = [pa.nulls(batch.num_rows, batch.schema.field(k).type) for k in [*keys, *keys]]
-            types = batch.schema
-            yield pa.RecordBatch.from_arrays(
-                [c for _, c in kept] + [pa.array([part] * batch.num_rows, pa.int32()), local, *none],
-                [f for f, _ in kept] + ["_part", "_local", *(f"_first_{k}" for k in keys), *(f"_last_{k}" for k in keys)],
-            )
+            kept, types = [batch.schema.field(f) for f in batch.schema.names if f not in keys], [batch.schema.field(k).type for k in keys] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([part] * n, pa.int32()), local, pa.nulls(n, pa.bool_()), *(pa.nulls(n, t) for t in types)], [*(f.name for f in kept), *names])
         if count:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, f.type) for f in schema] + [pa.array([part], pa.int32()), pa.array([count], pa.int64())] + [pa.array([v], types.field(k).type) for k, v in zip([*keys, *keys], [*first, *last], strict=True)],
-                [f.name for f in schema] + ["_part", "_local", *(f"_first_{k}" for k in keys), *(f"_last_{k}" for k in keys)],
-            )
+            mixed = first[0] in clashes or last[0] in clashes
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in kept), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.array([mixed]), *(pa.array([v], t) for v, t in zip([*first, *last], types, strict=True))], [*(f.name for f in kept), *names])
 
     return name
 
 
-def sorted_names(frame: DataFrame, keys: list[str], row: str) -> DataFrame:
+def sorted_names(frame: DataFrame, keys: list[str], row: str, ranges: list[str] | None = None) -> DataFrame:
     """Replaces `keys` by one integer `name`: equal keys have equal names, different keys different ones.
 
-    `row` is a non-null column that tells the rows of one key apart.
+    `row` is a non-null column that tells the rows of one key apart. `ranges`: the first of `keys`, if the others follow from
+    it all but always; only they are sampled for the bounds of partitions then.
     """
     spark = frame.sparkSession
     fields = [f for f in frame.schema if f.name not in keys]
     own = [frame.schema[k] for k in keys]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), *(T.StructField(f"_{at}_{k.name}", k.dataType) for at in ("first", "last") for k in own)])
-    ranged = frame.repartitionByRange(partitions(spark), *keys, row).sortWithinPartitions(*keys, row)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_mixed", T.BooleanType()), *(T.StructField(f"_{at}_{k.name}", k.dataType) for at in ("first", "last") for k in own)])
+    ranged = frame.repartitionByRange(partitions(spark), *(ranges or keys), row).sortWithinPartitions(*keys, row)
     local = written(ranged.mapInArrow(_local_names(keys), schema))
-    bases, total, last = [], 0, None
+    bases, total, last, mixed = [], 0, None, False
     for r in local.filter(F.col(row).isNull()).orderBy("_part").collect():
-        base = total - (last is not None and [r[f"_first_{k}"] for k in keys] == last)
+        first = [r[f"_first_{k}"] for k in keys]
+        mixed = mixed or r["_mixed"] or (last is not None and first != last and first[0] == last[0])
+        base = total - (first == last)
         bases.append((r["_part"], base))
         total, last = base + r["_local"], [r[f"_last_{k}"] for k in keys]
+    if ranges and mixed:
+        return sorted_names(frame, keys, row)
     base = spark.createDataFrame(bases, "_part int, _base long")
     # a row for each partition at most, so the broadcast has a bound
     return local.filter(F.col(row).isNotNull()).join(F.broadcast(base), "_part").select(*(f.name for f in fields), (F.col("_base") + F.col("_local")).alias("name"))
@@ -91,7 +97,7 @@ def identities(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         .select("_row", "doc_id", "text_sha256", F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("_i", "_block"))
         .withColumn("text_sha256", F.when(F.col("_i") == 0, F.col("text_sha256")))
     )
-    named = sorted_names(blocks, ["_block"], "_row")
+    named = sorted_names(blocks.withColumn("_hash", F.xxhash64("_block")), ["_hash", "_block"], "_row", ["_hash"])
     heads = named.filter("_i = 0").select("_row", "doc_id", "text_sha256")
     level, done = 0, named.filter("_n = 1").select("_row", F.lit(0).alias("level"), "name")
     rest = named.filter("_n > 1").select("_row", "_i", "_n", "name")
