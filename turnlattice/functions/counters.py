@@ -41,8 +41,8 @@ def _mixed(frame: DataFrame, x: Column, mixer: tuple[int, int], shifts: tuple[in
     return _step(frame, _x=F.col("_x").bitwiseXOR(F.shiftright("_x", shifts[2])))
 
 
-def counter_uint(frame: DataFrame, seed: int, to: str, **counters: Column | int) -> DataFrame:
-    """Adds `to`: the 32-bit number (as BIGINT) at the given counters; those not given are 0."""
+def counter_uint(frame: DataFrame, seed: int, to: str, only: Column | None = None, **counters: Column | int) -> DataFrame:
+    """Adds `to`: the 32-bit number (as BIGINT) at the given counters; those not given are 0. Null where `only` doesn't hold."""
     low, high = seed & _32, (seed >> 32) & _32
     for i, (name, multiplier) in enumerate(COUNTERS.items()):
         at = counters.get(name, 0)
@@ -51,6 +51,7 @@ def counter_uint(frame: DataFrame, seed: int, to: str, **counters: Column | int)
         else:
             own = times32((at.cast("long") + 1).bitwiseAND(F.lit(_32)), multiplier)
         x = own.bitwiseXOR(F.lit(low).cast("long")) if i == 0 else F.col("_x").bitwiseXOR(own)
+        x = F.when(only, x) if i == 0 and only is not None else x
         frame = _mixed(frame, x.bitwiseXOR(F.lit(high).cast("long")) if i == 1 else x, MIX, (16, 15, 16))
     return frame.withColumn(to, F.col("_x")).drop("_x")
 
@@ -60,7 +61,7 @@ def potential_die(frame: DataFrame, seed: int, to: str, **counters: Column | int
     limit = (1 << 32) // 6 * 6
     frame = counter_uint(frame, seed, "_u0", attempt=0, **counters)
     for k in (1, 2):
-        frame = counter_uint(frame, seed, f"_u{k}", attempt=k, **counters)
+        frame = counter_uint(frame, seed, f"_u{k}", only=F.col(f"_u{k - 1}") >= limit, attempt=k, **counters)
     used = F.when(F.col("_u0") < limit, F.col("_u0")).when(F.col("_u1") < limit, F.col("_u1")).otherwise(F.col("_u2"))
     return frame.withColumn(to, (used % 6 + 1).cast("int")).drop("_u0", "_u1", "_u2")
 
