@@ -7,7 +7,9 @@ import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,13 @@ def row_ids(frame: DataFrame, name: str = "_row") -> DataFrame:
     return frame.withColumn(name, F.monotonically_increasing_id())
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for work that makes Python objects of each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def octet_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
 

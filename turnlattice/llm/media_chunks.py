@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import row_ids, utf8, written
+from turnlattice.llm.common import row_ids, sliced, utf8, written
 
 BLOCK, RATE = 64, 8000
 #: Chunk digests that a task remembers at most, so as to offer a chunk once.
@@ -89,7 +89,7 @@ def stored(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
@@ -103,7 +103,7 @@ def stored(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=3), set()
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict[bytes, bytes] = {}
             for i in range(batch.num_rows):
                 out |= {d: p for p, d, s in zip(*parted(payload(batch.column("text")[i].as_py())), strict=True) if s and d not in seen}
@@ -132,7 +132,7 @@ def media_columns(documents: DataFrame) -> DataFrame:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for r in batch.to_pylist():
                 read = unpack.decompress(r["own"])
@@ -141,7 +141,7 @@ def media_columns(documents: DataFrame) -> DataFrame:
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for r in batch.to_pylist():
                 lent = {p["k"]: unpack.decompress(p["data"]) for p in r["lent"]}
