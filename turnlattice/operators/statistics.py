@@ -76,10 +76,8 @@ def distribution(counts: DataFrame) -> DataFrame:
 
 def margin_bin(x: Column) -> Column:
     """The half-open bin of a margin from 0 on; below 0 or not a number: the last."""
-    found = F.lit(len(MARGIN_EDGES) - 1)
-    for i in range(len(MARGIN_EDGES) - 1):
-        found = F.when((x >= MARGIN_EDGES[i]) & (x < MARGIN_EDGES[i + 1]), i).otherwise(found)
-    return found
+    reached = F.size(F.filter(F.array(*[F.lit(float(e)) for e in MARGIN_EDGES]), lambda e: x >= e))
+    return F.when(x >= 0, reached - 1).otherwise(len(MARGIN_EDGES) - 1)
 
 
 def paired(frame: DataFrame, difference: str) -> DataFrame:

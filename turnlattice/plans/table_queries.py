@@ -347,8 +347,8 @@ def modulo_sample(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(F.pmod(F.col("o_orderkey") * 47 + F.col("o_custkey"), F.lit(17)) == 0).select("o_orderkey")
 
 
-@query("""WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS at, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
-SELECT o_orderpriority, o_orderkey FROM r WHERE n <= 32 OR at IN (SELECT (i * (r.n - 1)) // 31 FROM range(32) t(i))""")
+@query("""WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderpriority, o_orderkey FROM r WHERE n <= 32 OR list_contains([(i * (n - 1)) // 31 FOR i IN range(32)], place)""")
 def even_sample(spark, sf_dir):
     """32 evenly spaced orders a priority; the sample is the operator."""
     return stat.even_sample(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderkey", 32, "o_orderpriority")
