@@ -234,7 +234,7 @@ def upper_point_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {o.MODEL}, {o.STATES}, s AS (SELECT mask, upper FROM all_states WHERE layer = 14), {o.turn('s', None, 't')}
-SELECT a.upper, count(*) AS n, round(avg(b.value - a.value), 6) AS mean_continuation, round(avg(1 + 50 * (a.upper = 62)::INTEGER + b.value - a.value), 6) AS mean_grant
+SELECT a.upper, count(*) AS n, round(avg(b.value - a.value), 6) + 0 AS mean_continuation, round(avg(1 + 50 * (a.upper = 62)::INTEGER + b.value - a.value), 6) + 0 AS mean_grant
 FROM t_value a JOIN t_value b ON b.mask = a.mask AND b.upper = a.upper + 1 WHERE a.upper < 63 GROUP BY a.upper""")
 def upper_point_means(spark, sf_dir):
     """What one more upper point is worth where one category is left."""
@@ -242,17 +242,17 @@ def upper_point_means(spark, sf_dir):
     higher = value.select("mask", (F.col("upper") - 1).alias("upper"), F.col("value").alias("higher"))
     gain = F.col("higher") - F.col("value")
     grant = gain + 1 + F.when(F.col("upper") == 62, 50).otherwise(0)
-    return longs(value.filter("upper < 63").join(higher, ["mask", "upper"]).groupBy("upper").agg(F.count("*").alias("n"), F.round(F.avg(gain), 6).alias("mean_continuation"), F.round(F.avg(grant), 6).alias("mean_grant")))
+    return longs(value.filter("upper < 63").join(higher, ["mask", "upper"]).groupBy("upper").agg(F.count("*").alias("n"), (F.round(F.avg(gain), 6) + 0).alias("mean_continuation"), (F.round(F.avg(grant), 6) + 0).alias("mean_grant")))
 
 
 @query(f"""WITH {o.MODEL}, {o.STATES}, s AS (SELECT mask, upper FROM all_states WHERE layer = 14), {o.turn('s', None, 't')}
-SELECT 14::BIGINT AS layer, least(12, (63 - a.upper) // 5) AS distance, count(*) AS n, round(avg(b.value - a.value), 6) AS shadow
+SELECT 14::BIGINT AS layer, least(12, (63 - a.upper) // 5) AS distance, count(*) AS n, round(avg(b.value - a.value), 6) + 0 AS shadow
 FROM t_value a JOIN t_value b ON b.mask = a.mask AND b.upper = a.upper + 1 WHERE a.upper < 63 GROUP BY 2""")
 def bonus_shadow(spark, sf_dir):
     value = act.turn(spark, st.states(spark).filter("layer = 14")).value
     higher = value.select("mask", (F.col("upper") - 1).alias("upper"), F.col("value").alias("higher"))
     distance = F.least(F.lit(12), F.floor((63 - F.col("upper")) / 5))
-    return longs(value.filter("upper < 63").join(higher, ["mask", "upper"]).groupBy(F.lit(14).alias("layer"), distance.alias("distance")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("higher") - F.col("value")), 6).alias("shadow")))
+    return longs(value.filter("upper < 63").join(higher, ["mask", "upper"]).groupBy(F.lit(14).alias("layer"), distance.alias("distance")).agg(F.count("*").alias("n"), (F.round(F.avg(F.col("higher") - F.col("value")), 6) + 0).alias("shadow")))
 
 
 @query(f"""WITH {_LATE}, placed AS (SELECT *, {_ORDER} AS rank FROM actions),

@@ -1 +1 @@
-"""See the modules."""
+"""Folding of batches as they arrive; an extension, as the statistics are mergeable."""
