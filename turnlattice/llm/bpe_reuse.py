@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import octet_of, row_ids, utf8, written
+from turnlattice.llm.common import octet_of, row_ids, sliced, utf8, written
 
 #: Words that a task remembers at most.
 MEMO = 200_000
@@ -148,7 +148,7 @@ def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             docs, numbers, column = batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist(), batch.column("data")
             for i, (doc, row) in enumerate(zip(docs, numbers, strict=True)):
@@ -165,7 +165,7 @@ def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
 
     def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict[bytes, bytes] = {}
             for i in range(batch.num_rows):
                 out |= {d: part for part, d, shared in parted(batch.column("data")[i].as_py()) if shared and d not in seen}
@@ -176,14 +176,14 @@ def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [encoded_chunk(encode, c.as_py()) for c in batch.column("chunk")]
             columns = list(zip(*found, strict=True)) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, t) for c, t in zip(columns, [pa.binary()] * 3 + [pa.bool_()], strict=True))], ["digest", "head", "body", "tail", "whole"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             results = []
             for i in range(batch.num_rows):
                 parts = sorted(batch.column("parts")[i].as_py(), key=lambda p: p["_k"])
