@@ -95,6 +95,13 @@ def test_full_solve(spark, solved, tmp_path):
         binary.check_header(b"x" * 200, binary.VALUES)
 
 
+def test_policy_file(spark, tmp_path):
+    rows = spark.createDataFrame([(i, bytes([i]) * 756) for i in (2, 0, 1)], "state_index int, policy binary")
+    binary.write_policy(rows, str(tmp_path / "policy.bin"))
+    data = (tmp_path / "policy.bin").read_bytes()
+    assert binary.check_header(data, binary.POLICY) == 3 and data[128:] == b"".join(bytes([i]) * 756 for i in range(3))
+
+
 def test_optimal_play(spark, solved):
     games = play.simulate(spark, "optimal", 1200, 5, solved).agg(F.avg("final_score").alias("m"), F.stddev("final_score").alias("s"), F.count("*").alias("n")).first()
     assert abs(games.m - 248.44) <= 4 * games.s / games.n**0.5

@@ -61,6 +61,22 @@ def write_table(frame: DataFrame, path: str, magic: bytes, rules: str = CANONICA
     return digest.hexdigest()
 
 
+def write_policy(frame: DataFrame, path: str, rules: str = CANONICAL_RULES) -> str:
+    """Writes state_index and policy (756 codes a state) in order; returns the file's SHA-256. Rows pass one by one."""
+    digest = hashlib.sha256()
+    ordered = frame.select("state_index", "policy").repartitionByRange(64, "state_index").sortWithinPartitions("state_index")
+    with open(path, "wb") as f:
+        head = policy_header(frame.count(), rules)
+        f.write(head)
+        digest.update(head)
+        for at, row in enumerate(ordered.toLocalIterator()):
+            if row["state_index"] != at or len(row["policy"]) != POLICY_BYTES:
+                raise ValueError("state_index must be 0, 1, 2, .. with 756 codes each")
+            f.write(row["policy"])
+            digest.update(row["policy"])
+    return digest.hexdigest()
+
+
 def _batches(frame: DataFrame) -> Iterator[pa.RecordBatch]:
     """Arrow batches of each partition in turn."""
     schema = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() in ("int", "bigint") else pa.float64()) for f in frame.schema])
