@@ -7,12 +7,15 @@ import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The written tables that are still there.
+_TABLES: list[str] = []
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
@@ -35,10 +38,22 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/turnlattice-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _TABLES.append(path)
     atexit.register(_remove, weakref.ref(spark), path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """build() as a written table. The tables that it wrote on its way are deleted, and shuffle files with them."""
+    before = len(_TABLES)
+    out = written(build())
+    for path in _TABLES[before:-1]:
+        _remove(weakref.ref(spark), path)
+    del _TABLES[before:-1]
+    release(spark)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of stages that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlattice.llm.common import partitions, row_ids, utf8, written
+from turnlattice.llm.common import partitions, row_ids, settled, utf8, written
 
 BLOCK_BYTES = 1024
 
@@ -117,15 +117,18 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
     stays (null is the smallest; of rows repeated with that doc_id one stays). An empty table gives no rows, and other
     columns are not read.
     """
-    rows = written(identities(documents, block_bytes))
+    rows = settled(documents.sparkSession, lambda: identities(documents, block_bytes))
     groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_best"))
     return rows.join(groups, ["level", "name"]).select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256", "_row")
 
 
 def deduplicated(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `documents` whose text no other row with a larger doc_id has, with all their columns."""
-    rows = written(row_ids(documents.withColumnsRenamed({"_row": "_row_in"}), "_at"))
-    found = exact_duplicates(rows.select(F.col("_at").alias("doc_id"), "text"), block_bytes)
+    """The rows of `documents` whose text no other row with a larger doc_id has, with all their columns.
+
+    `documents` is read twice and must be a table scan, which gives its rows in the same order each time.
+    """
+    rows = row_ids(documents.withColumnsRenamed({"_row": "_row_in"}), "_at")
+    found = settled(documents.sparkSession, lambda: exact_duplicates(rows.select(F.col("_at").alias("doc_id"), "text"), block_bytes))
     # the operator keeps the largest id; here ids are row numbers, so the right row is chosen within its group
     ranked = rows.select("_at", "doc_id").join(found.select(F.col("doc_id").alias("_at"), "keep_id"), "_at")
     best = ranked.groupBy("keep_id").agg(F.max(F.struct("doc_id", "_at")).alias("_best")).select(F.col("_best._at").alias("_at"))

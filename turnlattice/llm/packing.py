@@ -28,7 +28,7 @@ from turnlattice.llm.common import octet_of
 
 WIDTH, END_ID = 2048, 1
 #: Words that a task remembers the ids of at most.
-MEMO = 700_000
+MEMO = 300_000
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where a cut before each space and newline could change the pieces: three white spaces, or two at the end; and characters on which libraries differ.
 _WHOLE = re.compile(r"[\x00\x1c-\x1f]|\s\s(?!\S)")
@@ -191,6 +191,7 @@ def packed(documents: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int
                 rows.clear()
             last = batch.schema.field("doc_id").type
         add(packer.close())
+        encode.clear()
         if rows:
             yield table(rows, last)
 

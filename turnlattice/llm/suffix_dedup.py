@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import release, row_ids, utf8, written
+from turnlattice.llm.common import release, row_ids, settled, utf8, written
 
 LENGTH, GRAM, FIRST, GRID = 400, 32, 128, 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -219,7 +219,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _with_spans(rows: DataFrame, more: list[str], length: int) -> DataFrame:
     """`rows` (_row, data, more) with the spans of each row; data is kept only where there may be spans, else its digest."""
     spark = rows.sparkSession
-    spans = written(repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    spans = settled(spark, lambda: repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     marked = spark.sparkContext.broadcast(chunks.membership(spans.select("_row")))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +263,13 @@ def removed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """`documents` with all their columns and the texts without repeated strings; a character goes if all its bytes do.
 
-    A null text stays null.
+    A null text stays null. `documents` is read several times and must be a table scan, which gives its rows in the same
+    order each time.
     """
-    table = written(row_ids(documents, "_at"))
+    table = row_ids(documents, "_at")
     rows = table.select(F.col("_at").alias("_row"), utf8().alias("data"))
-    spans = repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = settled(documents.sparkSession, lambda: repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    marked = documents.sparkSession.sparkContext.broadcast(chunks.membership(spans.select("_row")))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,5 +286,5 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 texts.append(b"".join([*kept, data[at:]]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_at", "_short"])
 
-    short = rows.join(spans, "_row").mapInArrow(shorten, "_at long, _short string")
+    short = _held(rows, "_row", marked).join(spans, "_row").mapInArrow(shorten, "_at long, _short string")
     return table.join(short, "_at", "left").withColumn("text", F.coalesce("_short", "text")).drop("_at", "_short")
