@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from turnlattice.llm.common import partitions, row_ids, settled, utf8, written
 
 BLOCK_BYTES = 1024
+#: Groups that hold at least one in so many rows are joined by broadcast; so there are at most that many of them.
+HOT_SHARE = 1000
 
 
 def _local_names(keys: list[str]):
@@ -118,8 +120,12 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
     columns are not read.
     """
     rows = settled(documents.sparkSession, lambda: identities(documents, block_bytes))
-    groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_best"))
-    return rows.join(groups, ["level", "name"]).select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256", "_row")
+    groups = written(rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_best")))
+    # rows of a large group never meet in one task
+    hot = F.col("group_size") * HOT_SHARE >= rows.count()
+    tagged = rows.join(F.broadcast(groups.filter(hot)), ["level", "name"], "left")
+    rest = tagged.filter("group_size is null").select(*rows.columns).join(groups.filter(~hot), ["level", "name"])
+    return tagged.filter("group_size is not null").unionByName(rest).select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256", "_row")
 
 
 def deduplicated(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
