@@ -48,6 +48,21 @@ def test_edits_and_periods(spark, tmp_path, seed):
     assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == want
 
 
+def test_third_text_shares_less_past_the_edge(spark, tmp_path):
+    rnd = random.Random(3)
+    fill = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(60):
+        at, before = 300, rnd.randint(16, 40)
+        x = fill(1200)
+        texts += [x, fill(100) + x[at : at + rnd.randint(405, 480)] + fill(100), fill(100) + x[at - before : at - before + rnd.randint(385, 399)] + fill(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    rows = docs.collect()
+    want = Counter((r.doc_id, *e) for r, e in zip(rows, expected([r.text.encode() for r in rows], 400)))
+    assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == want
+
+
 def test_empty_and_columns(spark, tmp_path):
     assert suffix_dedup.removed(corpus.empty(spark)).count() == 0
     docs = corpus.table(spark, tmp_path / "d")

@@ -11,7 +11,8 @@ decide which places those are; in each round Spark brings equal ranks together,
 3. Offset `length`. Windows in the cells that are left are ranked one by one.
 
 Windows of a run overlap, so that the first and the last repeated window of a run cover what all of its repeated windows
-cover: only windows in its outermost cells need to be joined back. Ranks are 64-bit hashes of the bytes; those of runs
+cover. A cell that is left need not hold a repeated window, so that the windows of all cells that are left are joined back,
+and the first and the last are taken after the join. Ranks are 64-bit hashes of the bytes; those of runs
 count within one anchor. Between rounds, tasks know the ranks that are left from a Bloom filter of fixed size, and drop
 nothing that it holds; joins on the ranks themselves decide.
 """
@@ -189,17 +190,22 @@ def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 found += [_name(data[p - low : p - low + length]) for c in kept for p in windows(low, high, anchor, c)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["rank"])
 
-    def outermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ranks = written(_often(context.mapInArrow(third, "rank long"), "rank"))
+    release(spark)
+    again = spark.sparkContext.broadcast(chunks.membership(ranks, 1 << 25))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row, low, high, anchor, n, data, kept in left(batch):
                 if n == 1:
-                    found += [(_long(_name(data[p - low : p - low + length])), row, p, low) for c in {kept[0], kept[-1]} for p in windows(low, high, anchor, c)]
+                    places = [p for c in kept for p in windows(low, high, anchor, c)]
+                    own = np.array([_name(data[p - low : p - low + length]) for p in places], np.uint64).view(np.int64)
+                    held = chunks.members(again.value, own).tolist()
+                    found += [(rank, row, p, low) for rank, p, h in zip(own.tolist(), places, held, strict=True) if h]
             yield _rows(found, "rank _row place low")
 
-    ranks = written(_often(context.mapInArrow(third, "rank long"), "rank"))
-    release(spark)
-    ends = context.mapInArrow(outermost, "rank long, _row long, place long, low long").join(ranks, "rank", "left_semi")
+    ends = context.mapInArrow(likely, "rank long, _row long, place long, low long").join(ranks, "rank", "left_semi")
     ends = ends.groupBy("_row", "low").agg(F.min("place").alias("start"), (F.max("place") + length).alias("end")).select("_row", "start", "end")
     inner = written(ends)
     release(spark)
