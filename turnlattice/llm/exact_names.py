@@ -131,9 +131,9 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
 def deduplicated(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `documents` whose text no other row with a larger doc_id has, with all their columns.
 
-    `documents` is read twice and must be a table scan, which gives its rows in the same order each time.
+    `documents` is read once: its rows are numbered in a written table.
     """
-    rows = row_ids(documents.withColumnsRenamed({"_row": "_row_in"}), "_at")
+    rows = written(row_ids(documents.withColumnsRenamed({"_row": "_row_in"}), "_at"))
     found = settled(documents.sparkSession, lambda: exact_duplicates(rows.select(F.col("_at").alias("doc_id"), "text"), block_bytes))
     # the operator keeps the largest id; here ids are row numbers, so the right row is chosen within its group
     ranked = rows.select("_at", "doc_id").join(found.select(F.col("doc_id").alias("_at"), "keep_id"), "_at")

@@ -209,9 +209,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, distance: int = DI
 def representatives(documents: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """The rows of `documents` with one of each group of near-duplicates: that of the smallest doc_id; all columns.
 
-    `documents` is read twice and must be a table scan, which gives its rows in the same order each time.
+    `documents` is read once: its rows are numbered in a written table.
     """
-    rows = row_ids(documents, "_at")
+    rows = written(row_ids(documents, "_at"))
     found = settled(documents.sparkSession, lambda: near_duplicates(rows.select(F.col("_at").alias("doc_id"), "text"), words, distance).select(F.col("doc_id").alias("_at"), "component_id"))
     ranked = rows.select("_at", "doc_id").join(found, "_at")
     best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at")).alias("_best")).select(F.col("_best._at").alias("_at"))

@@ -248,7 +248,7 @@ def removed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     Every byte that a repeated string of `length` bytes covers counts as removed. A null text is an empty one; texts that are
     shorter than `length` lose nothing. Equal rows lose all that is `length` long. An empty table gives no rows.
     """
-    rows = row_ids(documents.select("doc_id", utf8().alias("data")))
+    rows = written(row_ids(documents.select("doc_id", utf8().alias("data"))))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +269,9 @@ def removed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """`documents` with all their columns and the texts without repeated strings; a character goes if all its bytes do.
 
-    A null text stays null. `documents` is read several times and must be a table scan, which gives its rows in the same
-    order each time.
+    A null text stays null. `documents` is read once: its rows are numbered in a written table.
     """
-    table = row_ids(documents, "_at")
+    table = written(row_ids(documents, "_at"))
     rows = table.select(F.col("_at").alias("_row"), utf8().alias("data"))
     spans = settled(documents.sparkSession, lambda: repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     marked = documents.sparkSession.sparkContext.broadcast(chunks.membership(spans.select("_row")))
