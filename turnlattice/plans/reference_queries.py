@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlattice.functions import counters as rng
 from turnlattice.operators import states as st
+from turnlattice.operators import universe
 from turnlattice.plans import kernel, play
 from turnlattice.plans.model_queries import TWO_LEFT, longs
 from turnlattice.plans.solve import solve
@@ -31,6 +32,28 @@ def _late(spark: SparkSession) -> tuple[kernel.Tables, dict[str, object]]:
     return model, {c: kernel.dense(rows, c) for c in ("value", "lower", "higher")}
 
 
+@query
+def state_index_all(spark, sf_dir):
+    """The index of all 1,430,528 states; state_index has SQL, and so only some masks."""
+    return longs(st.states(spark).select("state_index", "mask", "upper"))
+
+
+@query
+def successor_states_all(spark, sf_dir):
+    """Successors of all states by all open categories and attainable points; successor_states has SQL, and so only some."""
+    return longs(all_successors(spark, st.states(spark).filter("layer < 15")))
+
+
+def all_successors(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """One row for each state of `frame` (mask, upper), open category and points that some roll scores in it."""
+    scores = universe.score_matrix(spark).select("category", "points").distinct()
+    bit = F.call_function("shiftleft", F.lit(1), F.col("category"))
+    rows = frame.select("mask", "upper").join(F.broadcast(scores), F.col("mask").bitwiseAND(bit) == 0)
+    following = F.when(F.col("category") < 6, F.least(F.lit(63), F.col("upper") + F.col("points"))).otherwise(F.col("upper"))
+    rows = rows.withColumn("next_mask", F.col("mask").bitwiseOR(bit)).withColumn("next_upper", following)
+    return rows.withColumn("bonus", F.when((F.col("upper") < 63) & (F.col("next_upper") == 63), 50).otherwise(0))
+
+
 @query
 def solve_layer_summary(spark, sf_dir):
     """States, mean, least and greatest value and widest bound of each layer of the full solve."""
@@ -50,8 +73,6 @@ def policy_state(spark, sf_dir):
 @query
 def policy_audit(spark, sf_dir):
     """Codes of one state that name a used category or a keeper which the roll doesn't have: none."""
-    from turnlattice.operators import universe
-
     codes = policy_state(spark, sf_dir)
     kept = universe.legal(spark).groupBy("roll_id").agg(F.count("*").alias("n"))
     illegal = ((F.col("code") < 16) & ~F.col("code").isin(12, 14)) | ((F.col("code") >= 16) & ((F.col("stage") == 0) | (F.col("code") - 16 >= F.col("n"))))
