@@ -32,6 +32,34 @@ def _late(spark: SparkSession) -> tuple[kernel.Tables, dict[str, object]]:
     return model, {c: kernel.dense(rows, c) for c in ("value", "lower", "higher")}
 
 
+def upper_gains(value: DataFrame) -> DataFrame:
+    """The rows of `value` (mask, upper, layer, value) whose upper subtotal could be one higher, with the gain in value."""
+    higher = value.select("mask", (F.col("upper") - 1).alias("upper"), F.col("value").alias("higher"))
+    return value.filter("upper < 63").join(higher, ["mask", "upper"]).select("mask", "upper", "layer", (F.col("higher") - F.col("value")).alias("gain"))
+
+
+def upper_means(gains: DataFrame) -> DataFrame:
+    grant = F.col("gain") + 1 + F.when(F.col("upper") == 62, 50).otherwise(0)
+    return longs(gains.groupBy("upper").agg(F.count("*").alias("n"), (F.round(F.avg("gain"), 6) + 0).alias("mean_continuation"), (F.round(F.avg(grant), 6) + 0).alias("mean_grant")))
+
+
+def shadows(gains: DataFrame) -> DataFrame:
+    distance = F.least(F.lit(12), F.floor((63 - F.col("upper")) / 5))
+    return longs(gains.groupBy("layer", distance.alias("distance")).agg(F.count("*").alias("n"), (F.round(F.avg("gain"), 6) + 0).alias("shadow")))
+
+
+@query
+def upper_point_means_all(spark, sf_dir):
+    """What one more upper point is worth over the states of all layers; upper_point_means has SQL, and so only layer 14."""
+    return upper_means(upper_gains(solve(spark)))
+
+
+@query
+def bonus_shadow_all(spark, sf_dir):
+    """The matrix of all layers by distance to the bonus; bonus_shadow has SQL, and so only layer 14."""
+    return shadows(upper_gains(solve(spark)))
+
+
 @query
 def state_index_all(spark, sf_dir):
     """The index of all 1,430,528 states; state_index has SQL, and so only some masks."""
