@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import corpus
 from turnlattice.llm import exact_names
+from turnlattice.llm.sorted_ranks import ranked
 
 
 def expected(rows):
@@ -32,7 +33,7 @@ def test_names_survive_hash_clashes(spark):
     """All keys share one hash, so that the sort falls back on contents."""
     rows = [(i, 7, f"{i % 13}") for i in range(400)]
     frame = spark.createDataFrame(rows, "_row long, h long, k string")
-    named = exact_names.sorted_names(frame, ["h", "k"], "_row", ["h"]).collect()
+    named = ranked(frame, ["h", "k"], "_row", ["h"]).collect()
     by_name = defaultdict(set)
     for r in named:
         by_name[r.name].add(r._row % 13)

@@ -24,12 +24,15 @@ def expected(texts, length):
 def test_as_brute_force(spark, tmp_path):
     docs = corpus.table(spark, tmp_path / "d")
     rows = docs.select("doc_id", "text").collect()
-    want = Counter((r.doc_id, *e) for r, e in zip(rows, expected([(r.text or "").encode() for r in rows], 400)))
-    got = Counter(tuple(r) for r in suffix_dedup.removed(docs).collect())
-    assert got == want
+    assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == wanted(rows, 400, 200)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def wanted(rows, length, passage):
+    texts = [(r.text or "").encode() for r in rows]
+    return Counter((r.doc_id, *e, p[1]) for r, e, p in zip(rows, expected(texts, length), expected(texts, passage)))
+
+
+@pytest.mark.parametrize("seed", [1])
 def test_edits_and_periods(spark, tmp_path, seed):
     rnd = random.Random(seed)
     base = "".join(rnd.choice("abcd ") for _ in range(3000))
@@ -44,8 +47,7 @@ def test_edits_and_periods(spark, tmp_path, seed):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
     rows = docs.collect()
-    want = Counter((r.doc_id, *e) for r, e in zip(rows, expected([r.text.encode() for r in rows], 400)))
-    assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == want
+    assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == wanted(rows, 400, 200)
 
 
 def test_third_text_shares_less_past_the_edge(spark, tmp_path):
@@ -59,12 +61,29 @@ def test_third_text_shares_less_past_the_edge(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
     rows = docs.collect()
-    want = Counter((r.doc_id, *e) for r, e in zip(rows, expected([r.text.encode() for r in rows], 400)))
-    assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == want
+    assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == wanted(rows, 400, 200)
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_many_partners_of_other_lengths(spark, tmp_path, seed):
+    """Texts that share stretches about as long as the limit, each with others: every edge depends on another partner."""
+    rnd = random.Random(seed)
+    base = "".join(rnd.choice("abcdefgh \u00e9") for _ in range(1500))
+    texts = []
+    for _ in range(120):
+        at, size = rnd.randrange(1300), rnd.choice([rnd.randint(60, 70), rnd.randint(45, 140), 64, 63])
+        texts.append("".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 60))) + base[at : at + size] + "".join(rnd.choice("uvw") for _ in range(rnd.randint(0, 60))))
+    texts += texts[:5] + ["ab" * 60, "b" + "ab" * 50, "x" * 90, "x" * 64, "x" * 63]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    for length, passage, unit in ((80, 48, 8),):
+        got = Counter(tuple(r) for r in suffix_dedup.removed(docs, length, passage, unit).collect())
+        assert got == wanted(docs.collect(), length, passage or length)
 
 
 def test_empty_and_columns(spark, tmp_path):
     assert suffix_dedup.removed(corpus.empty(spark)).count() == 0
+    assert suffix_dedup.without_repeats(corpus.empty(spark)).count() == 0
     docs = corpus.table(spark, tmp_path / "d")
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

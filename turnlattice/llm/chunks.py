@@ -10,9 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnlattice.llm.common import written
+
 LEAST, MEAN_BITS, MOST = 512, 11, 8192
-#: Bits of the filter that is broadcast: 2 MiB, whatever the corpus holds.
-FILTER_BITS = 1 << 24
+#: Bloom filters that are broadcast have this many bits for each key, between these bounds (8 KiB and 16 MiB).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -74,7 +76,7 @@ def shared_filter(frame: DataFrame, characters: bool = False) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(keys(batch.column("digest").to_pylist()))], ["key"])
 
-    return membership(shared_digests(frame, characters).mapInArrow(longs, "key long"))
+    return membership(written(shared_digests(frame, characters).mapInArrow(longs, "key long")))
 
 
 def keys(digests: list[bytes]) -> np.ndarray:
@@ -82,12 +84,18 @@ def keys(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.int64)[::2]
 
 
-def membership(longs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of `bits` bits (2^24 to 2^40) over the hashes in a one-column frame of longs, as 64-bit words.
+def filter_bits(n: int) -> int:
+    """The size of a Bloom filter of `n` keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n - 1).bit_length()))
+
+
+def membership(longs: DataFrame) -> np.ndarray:
+    """A Bloom filter over the hashes in a one-column frame of longs, which is read twice, as 64-bit words.
 
-    Words are merged by aggregation, so that the driver gets `bits` / 64 numbers at most. What it holds by mistake is only
-    looked at once more, which changes no result.
+    Words are merged by aggregation, so that the driver gets 2^21 numbers at most. What it holds by mistake is only looked at
+    once more, which changes no result; beyond 2^23 keys that happens ever more often.
     """
+    bits = filter_bits(longs.count())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,6 +114,26 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([h, h >> np.uint64(12), h >> np.uint64(24)], axis=1).astype(np.uint64).view(np.int64) & (bits - 1)
 
 
+def broadcast_filter(longs: DataFrame):
+    return longs.sparkSession.sparkContext.broadcast(membership(longs))
+
+
+def within(frame: DataFrame, column: str, longs: DataFrame) -> DataFrame:
+    """The rows of `frame` whose long `column` stands in the one column of `longs`, a written table; and maybe a few more.
+
+    By a broadcast filter as long as its size is bounded, else by a join.
+    """
+    if BITS_A_KEY * longs.count() > MOST_BITS:
+        return frame.join(longs.toDF(column), column, "left_semi").select(*frame.columns)
+    table = broadcast_filter(longs)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(members(table.value, batch.column(column).to_numpy())))
+
+    return frame.mapInArrow(held, frame.schema)
+
+
 def members(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each hash, if the filter holds it."""
     places = _places(np.ascontiguousarray(hashes, np.int64), 64 * len(table))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 import weakref
@@ -23,13 +24,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only on a local master without it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnlattice-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnlattice-"))
     return context.getCheckpointDir()
 
 
+def hidden(frame: DataFrame, *names: str) -> list[str]:
+    """`names`, each with underscores before it until no column of `frame` has that name (in any case)."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def written(frame: DataFrame) -> DataFrame:
     """`frame` as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors.
 

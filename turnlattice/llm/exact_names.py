@@ -4,93 +4,28 @@ Every text is cut into blocks of a fixed size. All blocks of the corpus are sort
 integer name. Adjacent names of a document are then paired, the pairs sorted and named again, until one name is left
 for each document. Names are ranks in a sort of the contents themselves, so that no hash can collide.
 
-Blocks are sorted by (hash, content), so that range bounds are sampled from hashes and not from contents. The sort is split
-by range on (hash, row), so that a block which a third of all documents share is spread over as many tasks as its rows
-fill; only the first and the last key of each partition go to the driver, in a row a partition. If different blocks of one
-hash meet such a split, the sort is done again by content.
+Blocks are sorted by (hash, content), so that range bounds are sampled from hashes and not from contents. If different
+blocks of one hash meet an edge between partitions, the sort is done again by content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from turnlattice.llm.common import partitions, row_ids, settled, utf8, written
+from turnlattice.llm.common import hidden, row_ids, settled, utf8, written
+from turnlattice.llm.sorted_ranks import ranked
 
 BLOCK_BYTES = 1024
 #: Groups that hold at least one in so many rows are joined by broadcast; so there are at most that many of them.
 HOT_SHARE = 1000
 
 
-def _local_names(keys: list[str]):
-    """Names within one sorted partition: the number of different keys before; then a row with the partition's edges.
-
-    _mixed: different keys share the first of `keys` at an edge of the partition.
-    """
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, first, count, kept = TaskContext.get().partitionId(), None, None, 0, None
-        clashes: set = set()
-        names = ["_part", "_local", "_mixed", *(f"_first_{k}" for k in keys), *(f"_last_{k}" for k in keys)]
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            columns = [batch.column(k) for k in keys]
-            edges = [[c[i].as_py() for c in columns] for i in (0, n - 1)]
-            steps = [pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in columns]
-            step = steps[0]
-            for other in steps[1:]:
-                step = pc.or_(step, other)
-            clashes.update(columns[0].slice(1).filter(pc.and_not(step, steps[0])).to_pylist())
-            if last is not None and edges[0] != last and edges[0][0] == last[0]:
-                clashes.add(last[0])
-            fresh = pa.concat_arrays([pa.array([edges[0] != last]), step])
-            local = pc.add(pc.cumulative_sum(fresh.cast(pa.int64())), count - 1)
-            first, last, count = first or edges[0], edges[1], local[-1].as_py() + 1
-            kept, types = [batch.schema.field(f) for f in batch.schema.names if f not in keys], [batch.schema.field(k).type for k in keys] * 2
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([part] * n, pa.int32()), local, pa.nulls(n, pa.bool_()), *(pa.nulls(n, t) for t in types)], [*(f.name for f in kept), *names])
-        if count:
-            mixed = first[0] in clashes or last[0] in clashes
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in kept), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.array([mixed]), *(pa.array([v], t) for v, t in zip([*first, *last], types, strict=True))], [*(f.name for f in kept), *names])
-
-    return name
-
-
-def sorted_names(frame: DataFrame, keys: list[str], row: str, ranges: list[str] | None = None) -> DataFrame:
-    """Replaces `keys` by one integer `name`: equal keys have equal names, different keys different ones.
+def identities(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each row of `documents`: doc_id, text_sha256, and its identity (level, name).
 
-    `row` is a non-null column that tells the rows of one key apart. `ranges`: the first of `keys`, if the others follow from
-    it all but always; only they are sampled for the bounds of partitions then.
+    Null texts are empty; repeated rows are answered each; an empty table gives no rows.
     """
-    spark = frame.sparkSession
-    fields = [f for f in frame.schema if f.name not in keys]
-    own = [frame.schema[k] for k in keys]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_mixed", T.BooleanType()), *(T.StructField(f"_{at}_{k.name}", k.dataType) for at in ("first", "last") for k in own)])
-    ranged = frame.repartitionByRange(partitions(spark), *(ranges or keys), row).sortWithinPartitions(*keys, row)
-    local = written(ranged.mapInArrow(_local_names(keys), schema))
-    bases, total, last, mixed = [], 0, None, False
-    for r in local.filter(F.col(row).isNull()).orderBy("_part").collect():
-        first = [r[f"_first_{k}"] for k in keys]
-        mixed = mixed or r["_mixed"] or (last is not None and first != last and first[0] == last[0])
-        base = total - (first == last)
-        bases.append((r["_part"], base))
-        total, last = base + r["_local"], [r[f"_last_{k}"] for k in keys]
-    if ranges and mixed:
-        return sorted_names(frame, keys, row)
-    base = spark.createDataFrame(bases, "_part int, _base long")
-    # a row for each partition at most, so the broadcast has a bound
-    return local.filter(F.col(row).isNotNull()).join(F.broadcast(base), "_part").select(*(f.name for f in fields), (F.col("_base") + F.col("_local")).alias("name"))
-
-
-def identities(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of `documents`: doc_id, text_sha256, and its identity (level, name). Null texts are empty."""
     size = F.octet_length("_bytes")
     whole = row_ids(documents.select("doc_id", utf8().alias("_bytes")))
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / block_bytes).cast("int"), F.lit(1)) - 1), lambda i: F.substring(F.col("_bytes"), i * block_bytes + 1, F.lit(block_bytes)))
@@ -99,14 +34,14 @@ def identities(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         .select("_row", "doc_id", "text_sha256", F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("_i", "_block"))
         .withColumn("text_sha256", F.when(F.col("_i") == 0, F.col("text_sha256")))
     )
-    named = sorted_names(blocks.withColumn("_hash", F.xxhash64("_block")), ["_hash", "_block"], "_row", ["_hash"])
+    named = ranked(blocks.withColumn("_hash", F.xxhash64("_block")), ["_hash", "_block"], "_row", ["_hash"])
     heads = named.filter("_i = 0").select("_row", "doc_id", "text_sha256")
     level, done = 0, named.filter("_n = 1").select("_row", F.lit(0).alias("level"), "name")
     rest = named.filter("_n > 1").select("_row", "_i", "_n", "name")
     while not rest.isEmpty():
         level += 1
         pairs = rest.groupBy("_row", F.expr("_i div 2").alias("_i"), F.expr("(_n + 1) div 2").alias("_n")).agg(F.max(F.expr("if(_i % 2 = 0, name, null)")).alias("_a"), F.coalesce(F.max(F.expr("if(_i % 2 = 1, name, null)")), F.lit(-1)).alias("_b"))
-        named = sorted_names(pairs.withColumn("_i", F.col("_i").cast("int")).withColumn("_n", F.col("_n").cast("int")), ["_a", "_b"], "_row")
+        named = ranked(pairs.withColumn("_i", F.col("_i").cast("int")).withColumn("_n", F.col("_n").cast("int")), ["_a", "_b"], "_row")
         done = done.unionByName(named.filter("_n = 1").select("_row", F.lit(level).alias("level"), "name"))
         rest = named.filter("_n > 1")
     return heads.join(done, "_row")
@@ -131,11 +66,13 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
 def deduplicated(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `documents` whose text no other row with a larger doc_id has, with all their columns.
 
-    `documents` is read once: its rows are numbered in a written table.
+    Null texts are empty ones; of rows that are equal in doc_id and text one stays; an empty table gives no rows. Columns of
+    any name stay as they are. `documents` is read once: its rows are numbered in a written table.
     """
-    rows = written(row_ids(documents.withColumnsRenamed({"_row": "_row_in"}), "_at"))
-    found = settled(documents.sparkSession, lambda: exact_duplicates(rows.select(F.col("_at").alias("doc_id"), "text"), block_bytes))
+    at, = hidden(documents, "_at")
+    rows = written(row_ids(documents, at))
+    found = settled(documents.sparkSession, lambda: exact_duplicates(rows.select(F.col(at).alias("doc_id"), "text"), block_bytes))
     # the operator keeps the largest id; here ids are row numbers, so the right row is chosen within its group
-    ranked = rows.select("_at", "doc_id").join(found.select(F.col("doc_id").alias("_at"), "keep_id"), "_at")
-    best = ranked.groupBy("keep_id").agg(F.max(F.struct("doc_id", "_at")).alias("_best")).select(F.col("_best._at").alias("_at"))
-    return rows.join(best, "_at", "left_semi").drop("_at").withColumnsRenamed({"_row_in": "_row"})
+    placed = rows.select(F.col(at).alias("_at"), "doc_id").join(found.select(F.col("doc_id").alias("_at"), "keep_id"), "_at")
+    best = placed.groupBy("keep_id").agg(F.max(F.struct("doc_id", "_at")).alias("_best")).select(F.col("_best._at").alias(at))
+    return rows.join(best, at, "left_semi").drop(at)

@@ -1,20 +1,25 @@
 """Removal of long repeated byte strings by distributed prefix doubling.
 
-A string of `length` bytes is repeated if it starts at two places of the corpus. Ranks of prefixes at growing offsets
-decide which places those are; in each round Spark brings equal ranks together, and places whose rank is unique drop out:
-
-1. Offset 32. Of all 32-byte strings in a window of `length` bytes, the one with the least hash (the leftmost of equals)
-   anchors it, in every copy of the window alike. Neighbouring windows with one anchor are a run, the unit of the first
-   round. A run whose anchor is unique has no repeated window. Runs with equal bytes are repeated as a whole.
-2. Offsets 128 and `length` - GRID + 1. In the other runs, places at every GRID-th distance from the anchor are ranked
-   by the pair of the rank of their first 128 bytes and that of what follows; they are prefixes of all windows in a cell.
-3. Offset `length`. Windows in the cells that are left are ranked one by one.
-
-Windows of a run overlap, so that the first and the last repeated window of a run cover what all of its repeated windows
-cover. A cell that is left need not hold a repeated window, so that the windows of all cells that are left are joined back,
-and the first and the last are taken after the join. Ranks are 64-bit hashes of the bytes; those of runs
-count within one anchor. Between rounds, tasks know the ranks that are left from a Bloom filter of fixed size, and drop
-nothing that it holds; joins on the ranks themselves decide.
+A string of `length` bytes is repeated if it starts at two places of the corpus. Ranks of places decide which those are. A
+rank is a number from a sort in Spark: of bytes to begin with, then of pairs (rank at a place, rank at a growing offset from
+it), so that equal strings have equal ranks and different ones different ranks. Places whose rank is unique drop out before
+the next sort; the rounds end at `length`.
+
+Ranking every byte's place would sort 16 bytes and more for each byte of text in every round. Places that can't repeat, or
+whose answer follows from others, are left out before, which loses none:
+
+1. Of all GRAM-byte strings in a window of `length` bytes, the one with the least hash (the leftmost of equals) anchors it, in
+   every copy of the window alike. Neighbouring windows with one anchor are a run. Runs whose anchor's hash is unique have no
+   repeated window. The others are sorted by their bytes; runs with equal bytes are repeated as a whole, and one of them
+   stands for all in what follows.
+2. Places at every `unit` bytes from the anchor are ranked by their first 2 units, and ranks are doubled (50, 100, 200 bytes
+   with a unit of 25), always within one anchor and distance from it, as equal windows agree in both. Pairs at a last offset
+   give the ranks of `length` - `unit` bytes, which all windows in a cell (from one place to the next) contain, and of
+   `length` bytes.
+3. A window at a place of `length` repeated bytes is repeated. Windows of a run overlap, so that all between two repeated ones
+   are covered. Left are the windows before the first such place and after the last one, in cells whose rank is repeated: they
+   are ranked by (rank of the cell, distance from its place, bytes that the cell leaves out), together with the windows in the
+   same distance of all equal cells.
 """
 
 from __future__ import annotations
@@ -24,21 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import release, row_ids, settled, utf8, written
+from turnlattice.llm.common import hidden, release, row_ids, settled, utf8, written
+from turnlattice.llm.sorted_ranks import ranked
 
-LENGTH, GRAM, FIRST, GRID = 400, 32, 128, 16
+#: Bytes of a repeated string, of the anchors, and of a step between ranked places.
+LENGTH, GRAM, UNIT = 400, 32, 25
+#: The same for passages in prose: 50 short words have 200 bytes and more.
+PASSAGE = 200
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-_name = xxhash.xxh3_64_intdigest
-
-
-def _long(value: int) -> int:
-    return value - 2**64 if value >= 2**63 else value
 
 
 def _gram_hashes(data: bytes) -> np.ndarray:
@@ -63,153 +66,121 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - k)], h[width - k :]) if width > k else h
 
 
-def anchored_runs(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(first window, last window, anchor's place, anchor's hash, rank of the run's bytes) of all runs, in order."""
+def anchored_runs(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """(first window, last window, anchor's place, anchor's hash) of all runs, in order."""
     if len(data) < length:
         return []
     width = length - GRAM + 1
     h = _gram_hashes(data)
     least = _least(h, width)
     ends = [*np.flatnonzero(least[1:] != least[:-1]).tolist(), len(least) - 1]
+    grams = least.view(np.int64)
     out, at, k = [], 0, 0
     while at < len(least):
         while ends[k] < at:
             k += 1
         anchor = at + int(h[at : at + width].argmin())
         last = min(anchor, ends[k])
-        out.append((at, last, anchor, _long(int(least[at])), _long(_name(data[at : last + length]))))
+        out.append((at, last, anchor, int(grams[at])))
         at = last + 1
     return out
 
 
-def _record(columns, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+def _runs(rows: DataFrame, length: int) -> DataFrame:
+    """_row, low, high, anchor, gram of all runs in `rows` (_row, data)."""
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, data = batch.column("_row").to_pylist(), batch.column("data")
+            out = [(row, *r) for i, row in enumerate(numbers) for r in anchored_runs(data[i].as_py(), length)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 3, pa.int64()], strict=True)], ["_row", "low", "high", "anchor", "gram"])
 
-def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
-    """Rows of longs."""
-    fields = names.split()
-    return _record(zip(*rows, strict=True) if rows else [[]] * len(fields), [pa.int64()] * len(fields), fields)
+    return rows.select("_row", "data").mapInArrow(found, "_row long, low int, high int, anchor int, gram long")
 
 
-def _held(frame: DataFrame, column: str, table) -> DataFrame:
-    """The rows whose long `column` the broadcast filter holds."""
+def _doubled(places: DataFrame, by: list[int]) -> DataFrame:
+    """Pairs (run, at, by, a, b): the ranks at a place and `by` places further on, where both are left."""
+    whole = places.filter("again").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("ranks"))
+    pairs = F.flatten(F.array(*[F.transform(F.map_entries("ranks"), _pair(k)) for k in by]))
+    return whole.select("run", F.explode(F.filter(pairs, lambda p: p["b"].isNotNull())).alias("p")).select("run", "p.*")
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(chunks.members(table.value, batch.column(column).to_numpy())))
 
-    return frame.mapInArrow(held, frame.schema)
+def _pair(by: int):
+    return lambda e: F.struct(e["key"].alias("at"), F.lit(by).alias("by"), e["value"].alias("a"), F.try_element_at(F.col("ranks"), e["key"] + by).alias("b"))
 
 
-def _often(frame: DataFrame, *ranks: str) -> DataFrame:
-    return frame.groupBy(*ranks).agg(F.count("*").alias("_times")).filter("_times > 1").drop("_times")
+def _bit(e: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), e)
 
 
-def _cells(low: int, high: int, anchor: int) -> range:
-    return range((anchor - high) // GRID, (anchor - low) // GRID + 1)
+def _part(data: str, begin: Column, size: Column) -> Column:
+    return F.substring(F.col(data), begin + 1, size)
 
 
-def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     """Spans (_row, start, end) that cover the repeated strings of `rows` (_row, data); they may overlap.
 
-    `rows` is read more than once and must give the same _row each time.
+    `length` is a multiple of `unit` above two of them, and over GRAM. `rows` is read more than once and must give the same
+    _row each time; data isn't null. Rows shorter than `length` have no spans; an empty table gives none.
     """
+    if length % unit or length <= 2 * unit or length <= GRAM:
+        raise ValueError("the length must be a multiple of the unit, above two units and above GRAM")
     spark = rows.sparkSession
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, numbers = [], batch.column("_row").to_pylist()
-            for i, row in enumerate(numbers):
-                found += [(row, *r) for r in anchored_runs(batch.column("data")[i].as_py(), length)]
-            yield _rows(found, "_row low high anchor gram rank")
-
-    runs = written(rows.select("_row", "data").mapInArrow(first, "_row long, low long, high long, anchor long, gram long, rank long"))
-    grams = spark.sparkContext.broadcast(chunks.membership(_often(runs, "gram")))
-    runs = _held(runs, "gram", grams)
-    kinds = written(runs.groupBy("gram", "rank").agg(F.count("*").alias("n"), F.min(F.struct("_row", "low", "high", "anchor")).alias("at")))
-    release(spark)
-    whole = runs.join(kinds.filter("n > 1").select("gram", "rank"), ["gram", "rank"], "left_semi").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
-    open_runs = kinds.join(_often(kinds, "gram"), "gram").select("gram", "n", "at.*")
-
-    per_row = written(open_runs.groupBy("_row").agg(F.collect_list(F.struct("low", "high", "anchor", "gram", "n")).alias("runs")))
-    spans = written(whole)
+    units = length // unit
+    runs = written(_runs(rows, length))
+    grams = written(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    held = written(chunks.within(runs, "gram", grams).groupBy("_row").agg(F.collect_list(F.struct("low", "high", "anchor", "gram")).alias("runs")))
     release(spark)
-    asked = spark.sparkContext.broadcast(chunks.membership(per_row.select("_row")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            found = []
-            for i in range(batch.num_rows):
-                data = batch.column("data")[i].as_py()
-                for r in batch.column("runs")[i].as_py():
-                    found.append((batch.column("_row")[i].as_py(), r["low"], r["high"], r["anchor"], r["n"], pack.compress(data[r["low"] : r["high"] + length])))
-            yield _record(zip(*found, strict=True) if found else [[]] * 6, [pa.int64()] * 5 + [pa.binary()], ["_row", "low", "high", "anchor", "n", "bytes"])
-
-    context = written(_held(rows.select("_row", "data"), "_row", asked).join(per_row, "_row").mapInArrow(cut, "_row long, low long, high long, anchor long, n long, bytes binary"))
+    texts = chunks.within(rows.select("_row", "data"), "_row", held.select("_row")).join(held, "_row")
+    cut = texts.select("_row", "data", F.explode("runs").alias("r")).select("_row", "r.*", _part("data", F.col("r.low"), F.col("r.high") - F.col("r.low") + length).alias("bytes"))
+    kinds = written(ranked(cut.withColumn("hash", F.xxhash64("bytes")), ["gram", "hash", "bytes"], "_row", ["gram", "hash"], ["gram"], ["bytes"]))
     release(spark)
-
-    def each(batch: pa.RecordBatch):
-        unpack = zstandard.ZstdDecompressor()
-        for r in batch.to_pylist():
-            yield r["_row"], r["low"], r["high"], r["anchor"], r["n"], unpack.decompress(r["bytes"])
-
-    def cell_ranks(anchor: int, low: int, data: bytes, cell: int) -> tuple[int, int]:
-        at = anchor - GRID * cell - low
-        return _long(_name(data[at : at + FIRST], cell)), _long(_name(data[at + FIRST : at + length - GRID + 1], cell))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for _, low, high, anchor, _, data in each(batch):
-                found += [cell_ranks(anchor, low, data, c) for c in _cells(low, high, anchor)]
-            yield _rows(found, "rank next")
-
-    places = context.mapInArrow(second, "rank long, next long")
-    firsts = spark.sparkContext.broadcast(chunks.membership(_often(places, "rank")))
-    pairs = _often(_held(places, "rank", firsts), "rank", "next")
-    cells = spark.sparkContext.broadcast(chunks.membership(pairs.select(F.col("rank").bitwiseXOR(F.col("next")).alias("pair")), 1 << 25))
+    whole = kinds.filter("again").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    # of equal runs, one goes on; its windows are known to be repeated, but others may equal them
+    several = written(kinds.filter("fresh").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    runs = written(chunks.within(kinds.filter("fresh"), "gram", several).select(F.col("name").alias("run"), "_row", "low", "high", "anchor", "gram", "bytes", (~F.col("again")).alias("single")))
     release(spark)
 
-    def left(batch: pa.RecordBatch):
-        """(row, low, high, anchor, n, bytes, cells that are left) of each run that has some."""
-        for row, low, high, anchor, n, data in each(batch):
-            own = list(_cells(low, high, anchor))
-            ranks = np.array([a ^ b for a, b in (cell_ranks(anchor, low, data, c) for c in own)], np.int64)
-            if kept := [c for c, x in zip(own, chunks.members(cells.value, ranks).tolist(), strict=True) if x]:
-                yield row, low, high, anchor, n, data, kept
-
-    def windows(low: int, high: int, anchor: int, cell: int) -> range:
-        return range(max(low, anchor - GRID * cell - GRID + 1), min(high, anchor - GRID * cell) + 1)
-
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[int] = []
-            for _, low, high, anchor, _, data, kept in left(batch):
-                found += [_name(data[p - low : p - low + length]) for c in kept for p in windows(low, high, anchor, c)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["rank"])
-
-    ranks = written(_often(context.mapInArrow(third, "rank long"), "rank"))
+    # places at every unit from the anchor, as far as the run's bytes go
+    first = F.ceil((F.col("low") - F.col("anchor")) / unit).cast("int")
+    last = F.floor((F.col("high") + length - F.col("anchor")) / unit).cast("int") - 2
+    places = runs.select("run", "gram", "low", "anchor", "bytes", F.explode(F.sequence(first, last)).alias("at"))
+    places = places.select("run", "at", "gram", _part("bytes", F.col("anchor") + unit * F.col("at") - F.col("low"), F.lit(2 * unit)).alias("bytes"))
+    size, ranks = 2, ranked(places, ["gram", "at", "bytes"], "run", kept=["at"])
+    while 2 * size < units:
+        ranks = ranked(_doubled(ranks, [size]).drop("by"), ["a", "b"], "run")
+        size *= 2
+    cell, window = units - 1 - size, units - size
+    ranks = written(ranked(_doubled(ranks, [cell, window]), ["by", "a", "b"], "run", kept=["by"]).filter("again").drop("again", "fresh"))
     release(spark)
-    again = spark.sparkContext.broadcast(chunks.membership(ranks, 1 << 25))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row, low, high, anchor, n, data, kept in left(batch):
-                if n == 1:
-                    places = [p for c in kept for p in windows(low, high, anchor, c)]
-                    own = np.array([_name(data[p - low : p - low + length]) for p in places], np.uint64).view(np.int64)
-                    held = chunks.members(again.value, own).tolist()
-                    found += [(rank, row, p, low) for rank, p, h in zip(own.tolist(), places, held, strict=True) if h]
-            yield _rows(found, "rank _row place low")
-
-    ends = context.mapInArrow(likely, "rank long, _row long, place long, low long").join(ranks, "rank", "left_semi")
-    ends = ends.groupBy("_row", "low").agg(F.min("place").alias("start"), (F.max("place") + length).alias("end")).select("_row", "start", "end")
-    inner = written(ends)
+    per_run = ranks.groupBy("run").agg(
+        F.min(F.when(F.col("by") == window, F.col("at"))).alias("least"),
+        F.max(F.when(F.col("by") == window, F.col("at"))).alias("most"),
+        F.collect_list(F.when(F.col("by") == cell, F.struct("at", "name"))).alias("cells"),
+    )
+    known = [(F.col("anchor") + unit * F.col(c)).alias(c) for c in ("least", "most")]
+    per_run = written(per_run.join(runs.drop("gram", "bytes"), "run").select("run", "_row", "low", "high", "anchor", "single", *known, "cells"))
+    place = F.col("anchor") + unit * F.col("at")
+    asked = F.filter(F.sequence(F.lit(1), F.lit(unit - 1)), lambda e: F.col("single") & (place - e >= F.col("low")) & (place - e <= F.col("high")) & (F.col("least").isNull() | (place - e < F.col("least")) | (place - e > F.col("most"))))
+    cells = per_run.select("run", "low", "high", "anchor", "single", "least", "most", F.explode("cells").alias("c")).select("*", "c.*")
+    cells = written(cells.select("run", "at", "name", F.aggregate(asked, F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(_bit(e))).alias("asked")))
+    # which distances anyone asks for, by the cell's rank; equal cells answer for all of them
+    wanted = written(cells.groupBy("name").agg(F.bit_or("asked").alias("wanted")).filter("wanted != 0"))
+    left = written(cells.join(wanted, "name").groupBy("run").agg(F.collect_list(F.struct("at", "name", "asked", "wanted")).alias("cells")))
+    ends = chunks.within(runs, "run", left.select("run")).join(left, "run").select("run", "low", "high", "anchor", "bytes", F.explode("cells").alias("c")).select("*", "c.*").drop("c", "cells")
+    distances = F.filter(F.sequence(F.lit(1), F.lit(unit - 1)), lambda e: (F.col("wanted").bitwiseAND(_bit(e)) != 0) & (place - e >= F.col("low")) & (place - e <= F.col("high")))
+    ends = ends.select("run", "low", place.alias("place"), "name", "asked", "bytes", F.explode(distances).alias("e"))
+    rest = F.concat(_part("bytes", F.col("place") - F.col("e") - F.col("low"), F.col("e")), _part("bytes", F.col("place") + length - unit - F.col("low"), F.lit(unit) - F.col("e")))
+    ends = ends.select("run", (F.col("place") - F.col("e")).alias("place"), (F.col("asked").bitwiseAND(_bit(F.col("e"))) != 0).alias("open"), "name", "e", rest.alias("rest"))
+    ends = ranked(ends.withColumnRenamed("name", "cell"), ["cell", "e", "rest"], "run").filter("again and open").select("run", "place")
+    both = per_run.filter("single and least is not null").select("run", F.explode(F.array("least", "most")).alias("place")).unionByName(ends)
+    spans = both.groupBy("run").agg(F.min("place").alias("start"), (F.max("place") + length).alias("end")).join(per_run.select("run", "_row"), "run").select("_row", "start", "end")
+    out = written(whole.unionByName(spans))
     release(spark)
-    return spans.unionByName(inner)
+    return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -222,74 +193,108 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(rows: DataFrame, more: list[str], length: int) -> DataFrame:
-    """`rows` (_row, data, more) with the spans of each row; data is kept only where there may be spans, else its digest."""
-    spark = rows.sparkSession
-    spans = settled(spark, lambda: repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    marked = spark.sparkContext.broadcast(chunks.membership(spans.select("_row")))
+def _unions(spans: DataFrame) -> DataFrame:
+    """_row and its spans, merged where they meet, in order."""
 
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            some = chunks.members(marked.value, batch.column("_row").to_numpy()).tolist()
-            data = batch.column("data")
-            kept = pa.array([data[i].as_py() if s else None for i, s in enumerate(some)], pa.binary())
-            digests = pa.array([None if s else hashlib.sha256(data[i].as_py()).hexdigest() for i, s in enumerate(some)], pa.string())
-            sizes = pa.array([len(x) for x in data.to_pylist()], pa.int64())
-            own = [batch.column(c) for c in ["_row", *more]]
-            yield pa.RecordBatch.from_arrays([*own, sizes, kept, digests], ["_row", *more, "n_bytes", "data", "digest"])
+            found = [[{"start": a, "end": b} for a, b in _merged([(s["start"], s["end"]) for s in own])] for own in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, kind)], ["_row", "spans"])
+
+    return spans.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(merged, "_row long, spans array<struct<start int, end int>>")
+
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ["_row", *more])
-    return rows.select("_row", "data", *more).mapInArrow(light, f"{kinds}, n_bytes long, data binary, digest string").join(spans, "_row", "left")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
+    """_row and spans (start, end): all bytes of `rows` (_row, data) that repeated strings cover; rows without any are left out."""
+    return settled(rows.sparkSession, lambda: _unions(repeated(rows, length, unit)))
 
 
-def removed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each row of `documents`: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def longer_spans(rows: DataFrame, spans: DataFrame, length: int, unit: int = UNIT) -> DataFrame:
+    """repeated_spans for a greater length, from the spans of a smaller one: a repeated string lies whole in one of those."""
 
-    Every byte that a repeated string of `length` bytes covers counts as removed. A null text is an empty one; texts that are
-    shorter than `length` lose nothing. Equal rows lose all that is `length` long. An empty table gives no rows.
+    def within() -> DataFrame:
+        parts = spans.select("_row", F.explode(F.filter("spans", lambda s: s["end"] - s["start"] >= length)).alias("s"))
+        parts = written(row_ids(parts.select(F.col("_row").alias("_whole"), "s.*")))
+        asked = parts.groupBy("_whole").agg(F.collect_list(F.struct("_row", "start", "end")).alias("parts")).withColumnRenamed("_whole", "_key")
+        texts = chunks.within(rows.select("_row", "data"), "_row", written(asked.select("_key"))).withColumnRenamed("_row", "_key")
+        cut = texts.join(asked, "_key").select("data", F.explode("parts").alias("p")).select("p._row", _part("data", F.col("p.start"), F.col("p.end") - F.col("p.start")).alias("data"))
+        found = repeated(written(cut), length, unit).withColumnsRenamed({"start": "_from", "end": "_to"})
+        placed = found.join(parts, "_row").select(F.col("_whole").alias("_row"), (F.col("start") + F.col("_from")).alias("start"), (F.col("start") + F.col("_to")).alias("end"))
+        return _unions(placed)
+
+    return settled(rows.sparkSession, within)
+
+
+def removed(documents: DataFrame, length: int = LENGTH, passage: int | None = PASSAGE, unit: int = UNIT) -> DataFrame:
+    """One row for each row of `documents`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes.
+
+    Every byte that a repeated string of `length` bytes covers counts as removed. n_passage_bytes counts the bytes that
+    repeated strings of `passage` bytes cover, a smaller length whose ranks come first; None: as for `length`. A null text is
+    an empty one; texts that are shorter than `length` lose nothing. Equal rows lose all that is `length` long. An empty
+    table gives no rows; other columns are not read.
     """
+    spark = documents.sparkSession
     rows = written(row_ids(documents.select("doc_id", utf8().alias("data"))))
+    short = repeated_spans(rows, passage or length, unit)
+    spans = longer_spans(rows, short, length, unit) if passage else short
     kind = documents.schema["doc_id"].dataType.simpleString()
+    # texts of which nothing goes are not moved
+    marked = chunks.broadcast_filter(spans.select("_row"))
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = chunks.members(marked.value, batch.column("_row").to_numpy()).tolist()
+            data = [x.as_buffer() for x in batch.column("data")]
+            kept = pc.if_else(pa.array(some, pa.bool_()), batch.column("data"), pa.scalar(None, batch.column("data").type))
+            digests = pa.array([None if s else hashlib.sha256(d).hexdigest() for d, s in zip(data, some, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array([d.size for d in data], pa.int64()), kept, digests], ["_row", "doc_id", "n_bytes", "data", "digest"])
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.select(["n_bytes", "data", "digest", "spans"]).to_pylist():
-                spans = _merged([(s["start"], s["end"]) for s in r["spans"] or ()])
+                spans = [(s["start"], s["end"]) for s in r["spans"] or ()]
                 if r["data"] is not None:
                     ends = [0, *(x for s in spans for x in s), r["n_bytes"]]
                     r["digest"] = hashlib.sha256(b"".join(r["data"][a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))).hexdigest()
                 out.append((r["n_bytes"], sum(b - a for a, b in spans), len(spans), r["digest"]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)), batch.column("n_passage_bytes")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
-    return _with_spans(rows, ["doc_id"], length).mapInArrow(result, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    passages = short.select("_row", covered.alias("n_passage_bytes"))
+    texts = rows.select("_row", "doc_id", "data").mapInArrow(light, f"_row long, doc_id {kind}, n_bytes long, data binary, digest string")
+    whole = texts.join(spans, "_row", "left").join(passages, "_row", "left").withColumn("n_passage_bytes", F.coalesce("n_passage_bytes", F.lit(0).cast("long")))
+    return whole.mapInArrow(result, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     """`documents` with all their columns and the texts without repeated strings; a character goes if all its bytes do.
 
-    A null text stays null. `documents` is read once: its rows are numbered in a written table.
+    A null text stays null and an emptied one is empty; repeated rows lose alike; an empty table gives no rows. Columns of any
+    name stay as they are. `documents` is read once: its rows are numbered in a written table.
     """
-    table = written(row_ids(documents, "_at"))
-    rows = table.select(F.col("_at").alias("_row"), utf8().alias("data"))
-    spans = settled(documents.sparkSession, lambda: repeated(rows, length).groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    marked = documents.sparkSession.sparkContext.broadcast(chunks.membership(spans.select("_row")))
+    at, short = hidden(documents, "_at", "_short")
+    table = written(row_ids(documents, at))
+    rows = table.select(F.col(at).alias("_row"), utf8().alias("data"))
+    spans = repeated_spans(rows, length, unit)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for r in batch.select(["data", "spans"]).to_pylist():
-                data, at, kept = r["data"], 0, []
-                for start, end in _merged([(s["start"], s["end"]) for s in r["spans"]]):
+                data, begin, kept = r["data"], 0, []
+                for s in r["spans"]:
+                    start, end = s["start"], s["end"]
                     while start < end and 0x80 <= data[start] < 0xC0:
                         start += 1
                     while end > start and end < len(data) and 0x80 <= data[end] < 0xC0:
                         end -= 1
-                    kept.append(data[at:start])
-                    at = end
-                texts.append(b"".join([*kept, data[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_at", "_short"])
+                    kept.append(data[begin:start])
+                    begin = end
+                texts.append(b"".join([*kept, data[begin:]]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], [at, short])
 
-    short = _held(rows, "_row", marked).join(spans, "_row").mapInArrow(shorten, "_at long, _short string")
-    return table.join(short, "_at", "left").withColumn("text", F.coalesce("_short", "text")).drop("_at", "_short")
+    found = chunks.within(rows, "_row", spans.select("_row")).join(spans, "_row").mapInArrow(shorten, f"`{at}` long, `{short}` string")
+    return table.join(found, at, "left").withColumn("text", F.coalesce(short, "text")).drop(at, short)
