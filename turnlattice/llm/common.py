@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The written tables that are still there.
+#: The written tables that are still there, and the frames that read them.
 _TABLES: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,16 @@ def written(frame: DataFrame) -> DataFrame:
     frame.write.parquet(path)
     _TABLES.append(path)
     atexit.register(_remove, weakref.ref(spark), path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` has returned and nothing reads any more."""
+    for table in tables:
+        _remove(weakref.ref(table.sparkSession), _PATHS[table])
+        _TABLES.remove(_PATHS.pop(table))
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ of each partition go to the driver, in a row a partition.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 from turnlattice.llm.common import partitions, written
 
-_EDGE = ["_part", "_local", "_fresh", "_again", "_mixed"]
+#: Names within a partition are below 2 ^ SHIFT, partitions above it.
+SHIFT = 40
 
 
 def _differs(one: list[pa.Array], other: list[pa.Array]) -> pa.Array:
@@ -32,10 +34,9 @@ def _differs(one: list[pa.Array], other: list[pa.Array]) -> pa.Array:
 def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str]):
     """Names within one sorted partition: the number of different keys before; then a row with the partition's edges.
 
-    _fresh: the first row of its key. _again: not the only one. _mixed: different keys share the first `lead` keys at an edge
-    of the partition. The keys in `kept` stay, those in `once` in fresh rows only.
+    _flags: 1 for the first row of its key, 2 if it isn't the only one. _edge is for the driver: names, the first and the last
+    key, and if different keys share the first `lead` of them there. The keys in `kept` stay, those in `once` in fresh rows only.
     """
-    names = [*_EDGE, *(f"_first_{k}" for k in keys), *(f"_last_{k}" for k in keys)]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, first, last = TaskContext.get().partitionId(), 0, None, None
@@ -59,8 +60,8 @@ def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str]):
             again = pc.invert(pc.and_(fresh, pa.concat_arrays([step, pa.array([edges[1] != following])])))
             first, last, count = first or edges[0], edges[1], local[-1].as_py() + 1
             own = [batch.column(f.name) if f.name not in once else pc.if_else(fresh, batch.column(f.name), pa.scalar(None, f.type)) for f in fields]
-            edge = [pa.nulls(n, batch.schema.field(k).type) for k in keys] * 2
-            return pa.RecordBatch.from_arrays([*own, pa.array([part] * n, pa.int32()), local, fresh, again, pa.nulls(n, pa.bool_()), *edge], [*(f.name for f in fields), *names])
+            flags = pc.add(fresh.cast(pa.int8()), pc.multiply(again.cast(pa.int8()), pa.scalar(2, pa.int8())))
+            return pa.RecordBatch.from_arrays([*own, pc.add(local, part << SHIFT), flags, pa.nulls(n, pa.binary())], [*(f.name for f in fields), "_place", "_flags", "_edge"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -71,10 +72,9 @@ def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str]):
             held = batch
         if held is not None:
             yield done(held, None)
-            types = [held.schema.field(k).type for k in keys] * 2
             mixed = tuple(first[:lead]) in clashes or tuple(last[:lead]) in clashes
-            edge = [pa.array([v], t) for v, t in zip([*first, *last], types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in fields), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.bool_()), pa.array([mixed]), *edge], [*(f.name for f in fields), *names])
+            edge = pickle.dumps((count, first, last, mixed))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in fields), pa.array([part << SHIFT], pa.int64()), pa.nulls(1, pa.int8()), pa.array([edge])], [*(f.name for f in fields), "_place", "_flags", "_edge"])
 
     return name
 
@@ -89,23 +89,22 @@ def ranked(frame: DataFrame, keys: list[str], row: str, ranges: list[str] | None
     """
     spark, kept, once, lead = frame.sparkSession, kept or [], once or [], len(ranges or keys)
     fields = [f for f in frame.schema if f.name not in keys or f.name in [*kept, *once]]
-    own = [frame.schema[k] for k in keys]
-    edge = zip(_EDGE, [T.IntegerType(), T.LongType(), *[T.BooleanType()] * 3], strict=True)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), *(T.StructField(n, t) for n, t in edge), *(T.StructField(f"_{at}_{k.name}", k.dataType) for at in ("first", "last") for k in own)])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("_place", T.LongType()), T.StructField("_flags", T.ByteType()), T.StructField("_edge", T.BinaryType())])
     by_range = frame.repartitionByRange(partitions(spark), *(ranges or keys), row).sortWithinPartitions(*keys, row)
     local = written(by_range.mapInArrow(_local_names(keys, lead, kept, once), schema))
     bases, total, last, mixed = [], 0, None, False
-    for r in local.filter(F.col(row).isNull()).orderBy("_part").collect():
-        first = [r[f"_first_{k}"] for k in keys]
-        mixed = mixed or r["_mixed"] or (last is not None and first != last and first[:lead] == last[:lead])
+    for r in local.filter("_edge is not null").select("_place", "_edge").orderBy("_place").collect():
+        count, first, end, clash = pickle.loads(r["_edge"])
+        mixed = mixed or clash or (last is not None and first != last and first[:lead] == last[:lead])
         if bases and first == last:
             bases[-1][4] = True
-        bases.append([r["_part"], total - (first == last), r["_local"] - 1, first == last, False])
-        total, last = total - (first == last) + r["_local"], [r[f"_last_{k}"] for k in keys]
+        bases.append([r["_place"] >> SHIFT, total - (first == last), count - 1, first == last, False])
+        total, last = total - (first == last) + count, end
     if lead < len(keys) and mixed:
         return ranked(frame, keys, row, kept=kept, once=once)
-    base = spark.createDataFrame(bases, "_part int, _base long, _end long, _head boolean, _tail boolean")
+    base = spark.createDataFrame(bases, "_part long, _base long, _end long, _head boolean, _tail boolean")
     # a row for each partition at most, so the broadcast has a bound
-    placed = local.filter(F.col(row).isNotNull()).join(F.broadcast(base), "_part")
+    placed = local.filter("_edge is null").withColumn("_part", F.shiftright("_place", SHIFT)).withColumn("_local", F.col("_place").bitwiseAND(F.lit((1 << SHIFT) - 1))).join(F.broadcast(base), "_part")
     at_head, at_tail = F.col("_head") & (F.col("_local") == 0), F.col("_tail") & (F.col("_local") == F.col("_end"))
-    return placed.select(*(f.name for f in fields), (F.col("_base") + F.col("_local")).alias("name"), (F.col("_fresh") & ~at_head).alias("fresh"), (F.col("_again") | at_head | at_tail).alias("again"))
+    flag = lambda bit: F.col("_flags").bitwiseAND(F.lit(bit).cast("byte")) != 0
+    return placed.select(*(f.name for f in fields), (F.col("_base") + F.col("_local")).alias("name"), (flag(1) & ~at_head).alias("fresh"), (flag(2) | at_head | at_tail).alias("again"))

@@ -10,8 +10,9 @@ whose answer follows from others, are left out before, which loses none:
 
 1. Of all GRAM-byte strings in a window of `length` bytes, the one with the least hash (the leftmost of equals) anchors it, in
    every copy of the window alike. Neighbouring windows with one anchor are a run. Runs whose anchor's hash is unique have no
-   repeated window. The others are sorted by their bytes; runs with equal bytes are repeated as a whole, and one of them
-   stands for all in what follows.
+   repeated window. The others are sorted by (hash, SHA-256 of their bytes); equal runs are repeated as a whole, and one of
+   them stands for all in what follows. That is the one place where a digest stands for bytes: 256 bits, of which no two
+   equal ones are known for different bytes. All other ranks come from the bytes themselves.
 2. Places at every `unit` bytes from the anchor are ranked by their first 2 units, and ranks are doubled (50, 100, 200 bytes
    with a unit of 25), always within one anchor and distance from it, as equal windows agree in both. Pairs at a last offset
    give the ranks of `length` - `unit` bytes, which all windows in a cell (from one place to the next) contain, and of
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import hidden, release, row_ids, settled, utf8, written
+from turnlattice.llm.common import forget, hidden, release, row_ids, settled, utf8, written
 from turnlattice.llm.sorted_ranks import ranked
 
 #: Bytes of a repeated string, of the anchors, and of a step between ranked places.
@@ -101,7 +102,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
 
 def _doubled(places: DataFrame, by: list[int]) -> DataFrame:
     """Pairs (run, at, by, a, b): the ranks at a place and `by` places further on, where both are left."""
-    whole = places.filter("again").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("ranks"))
+    whole = places.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("ranks"))
     pairs = F.flatten(F.array(*[F.transform(F.map_entries("ranks"), _pair(k)) for k in by]))
     return whole.select("run", F.explode(F.filter(pairs, lambda p: p["b"].isNotNull())).alias("p")).select("run", "p.*")
 
@@ -110,10 +111,24 @@ def _pair(by: int):
     return lambda e: F.struct(e["key"].alias("at"), F.lit(by).alias("by"), e["value"].alias("a"), F.try_element_at(F.col("ranks"), e["key"] + by).alias("b"))
 
 
+def _rank(spark, build, before: DataFrame | None = None) -> DataFrame:
+    """The repeated ranks of a round as a written table; that of the round before goes."""
+    out = settled(spark, lambda: build().filter("again").drop("again", "fresh"))
+    if before is not None:
+        forget(before)
+    return out
+
+
 def _bit(e: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), e)
 
 
+def _cut(rows: DataFrame, held: DataFrame, start: Column, end: Column) -> DataFrame:
+    """_row, r and bytes for each r in `held` (_row, runs): the bytes from `start` to `end` of its row."""
+    texts = chunks.within(rows.select("_row", "data"), "_row", held.select("_row")).join(held, "_row")
+    return texts.select("_row", "data", F.explode("runs").alias("r")).select("_row", "r", _part("data", start, end - start).alias("bytes"))
+
+
 def _part(data: str, begin: Column, size: Column) -> Column:
     return F.substring(F.col(data), begin + 1, size)
 
@@ -133,14 +148,20 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     held = written(chunks.within(runs, "gram", grams).groupBy("_row").agg(F.collect_list(F.struct("low", "high", "anchor", "gram")).alias("runs")))
     release(spark)
 
-    texts = chunks.within(rows.select("_row", "data"), "_row", held.select("_row")).join(held, "_row")
-    cut = texts.select("_row", "data", F.explode("runs").alias("r")).select("_row", "r.*", _part("data", F.col("r.low"), F.col("r.high") - F.col("r.low") + length).alias("bytes"))
-    kinds = written(ranked(cut.withColumn("hash", F.xxhash64("bytes")), ["gram", "hash", "bytes"], "_row", ["gram", "hash"], ["gram"], ["bytes"]))
+    forget(runs, grams)
+    release(spark)
+
+    cut = _cut(rows, held, F.col("r.low"), F.col("r.high") + length).select("_row", "r.*", F.unhex(F.sha2("bytes", 256)).alias("digest"))
+    kinds = written(ranked(cut, ["gram", "digest"], "_row", kept=["gram"]))
+    forget(held)
     release(spark)
     whole = kinds.filter("again").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
     # of equal runs, one goes on; its windows are known to be repeated, but others may equal them
     several = written(kinds.filter("fresh").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    runs = written(chunks.within(kinds.filter("fresh"), "gram", several).select(F.col("name").alias("run"), "_row", "low", "high", "anchor", "gram", "bytes", (~F.col("again")).alias("single")))
+    held = chunks.within(kinds.filter("fresh"), "gram", several).withColumnRenamed("name", "run").withColumn("single", ~F.col("again"))
+    held = written(held.groupBy("_row").agg(F.collect_list(F.struct("run", "low", "high", "anchor", "gram", "single")).alias("runs")))
+    runs = written(_cut(rows, held, F.col("r.low"), F.col("r.high") + length).select("_row", "r.*", "bytes"))
+    forget(held)
     release(spark)
 
     # places at every unit from the anchor, as far as the run's bytes go
@@ -148,13 +169,13 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     last = F.floor((F.col("high") + length - F.col("anchor")) / unit).cast("int") - 2
     places = runs.select("run", "gram", "low", "anchor", "bytes", F.explode(F.sequence(first, last)).alias("at"))
     places = places.select("run", "at", "gram", _part("bytes", F.col("anchor") + unit * F.col("at") - F.col("low"), F.lit(2 * unit)).alias("bytes"))
-    size, ranks = 2, ranked(places, ["gram", "at", "bytes"], "run", kept=["at"])
+    ranks = _rank(spark, lambda: ranked(places, ["gram", "at", "bytes"], "run", kept=["at"]))
+    size = 2
     while 2 * size < units:
-        ranks = ranked(_doubled(ranks, [size]).drop("by"), ["a", "b"], "run")
+        ranks = _rank(spark, lambda: ranked(_doubled(ranks, [size]).drop("by"), ["a", "b"], "run"), ranks)
         size *= 2
     cell, window = units - 1 - size, units - size
-    ranks = written(ranked(_doubled(ranks, [cell, window]), ["by", "a", "b"], "run", kept=["by"]).filter("again").drop("again", "fresh"))
-    release(spark)
+    ranks = _rank(spark, lambda: ranked(_doubled(ranks, [cell, window]), ["by", "a", "b"], "run", kept=["by"]), ranks)
 
     per_run = ranks.groupBy("run").agg(
         F.min(F.when(F.col("by") == window, F.col("at"))).alias("least"),
@@ -216,10 +237,10 @@ def longer_spans(rows: DataFrame, spans: DataFrame, length: int, unit: int = UNI
     def within() -> DataFrame:
         parts = spans.select("_row", F.explode(F.filter("spans", lambda s: s["end"] - s["start"] >= length)).alias("s"))
         parts = written(row_ids(parts.select(F.col("_row").alias("_whole"), "s.*")))
-        asked = parts.groupBy("_whole").agg(F.collect_list(F.struct("_row", "start", "end")).alias("parts")).withColumnRenamed("_whole", "_key")
-        texts = chunks.within(rows.select("_row", "data"), "_row", written(asked.select("_key"))).withColumnRenamed("_row", "_key")
-        cut = texts.join(asked, "_key").select("data", F.explode("parts").alias("p")).select("p._row", _part("data", F.col("p.start"), F.col("p.end") - F.col("p.start")).alias("data"))
-        found = repeated(written(cut), length, unit).withColumnsRenamed({"start": "_from", "end": "_to"})
+        asked = written(parts.groupBy(F.col("_whole").alias("_row")).agg(F.collect_list(F.struct(F.col("_row").alias("part"), "start", "end")).alias("runs")))
+        cut = written(_cut(rows, asked, F.col("r.start"), F.col("r.end")).select(F.col("r.part").alias("_row"), F.col("bytes").alias("data")))
+        release(rows.sparkSession)
+        found = repeated(cut, length, unit).withColumnsRenamed({"start": "_from", "end": "_to"})
         placed = found.join(parts, "_row").select(F.col("_whole").alias("_row"), (F.col("start") + F.col("_from")).alias("start"), (F.col("start") + F.col("_to")).alias("end"))
         return _unions(placed)
 
