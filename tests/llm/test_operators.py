@@ -63,12 +63,14 @@ def test_language_on_nothing(spark):
 
 def test_lines(spark, docs):
     line = "Released under some licence of ours"
-    rows = [(i, f"{line}\nown line number {i} is here\n{'rare enough to stay' if i < 5 else 'x'}", f"s{i % 12}") for i in range(40)] + [(100, None, "s1"), (101, "", None)]
+    rows = [(i, f"{line}\nown line number {i} is here\n{'rare enough to stay' if i < 5 else f'own {i}'}", f"s{i % 12}") for i in range(40)] + [(100, None, "s1"), (101, "", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = {r.doc_id: r for r in line_spread.without_boilerplate(frame).collect()}
     for i, text, _ in rows[:40]:
         assert out[i].text == text.split("\n", 1)[1] and out[i].n_removed == 1
     assert out[100].text is None and out[101].text == "" and len(out) == 42
+    short = spark.createDataFrame([(i, f"  Share \nown {i}\n\n \nend", f"s{i % (12 if i < 30 else 3)}") for i in range(40)], "doc_id long, text string, source string")
+    assert {r.text.split("\n", 1)[1] for r in line_spread.without_boilerplate(short).collect()} == {"\n "}  # short lines go, empty ones stay
     near = line_spread.without_boilerplate(frame, min_sites=13)  # twelve sites only
     assert near.filter("n_removed > 0").count() == 0
     assert line_spread.without_boilerplate(docs).count() == docs.count()

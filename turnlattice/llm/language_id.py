@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from turnlattice.llm.common import crc_mod
 
-#: Bounds of the fit: texts a language, bytes of each that are counted there, trigrams kept.
-SAMPLE, SAMPLE_BYTES, FEATURES = 500, 20_000, 6000
+#: Bounds of the fit: texts a language (each is read whole), trigrams that the model knows.
+SAMPLE, FEATURES = 500, 6000
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected if its cosine to the nearest centroid is under this share of what is usual for as many trigrams.
-REJECT = 0.25
+#: A text is rejected if its cosine to the nearest centroid is under this share of what is usual for as many trigrams. Texts
+#: of the languages learned stay above it, those in another script are far below.
+REJECT = 0.3
 UNKNOWN = "und"
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -93,9 +94,9 @@ def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the rows (doc_id, text, lang) with a text and a lang.
+    """A model from the rows (doc_id, text, lang) with a text and a lang. Repeated rows count each; from none nothing is learned.
 
-    The driver gets the trigram counts of at most about `sample` texts a language, of which each has FEATURES at most.
+    The driver gets the trigram counts of about `sample` whole texts a language.
     """
     rows = labelled.filter("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 30)).alias("_draw"))
     shares = {r["lang"]: sample / r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -109,26 +110,25 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             langs, grams, counts = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if has_letter(text):
-                    g, n = np.unique(trigrams(text[:SAMPLE_BYTES]), return_counts=True)
-                    top = np.argsort(-n, kind="stable")[:FEATURES]
+                    g, n = np.unique(trigrams(text), return_counts=True)
                     langs.append(lang)
-                    grams.append(g[top])
-                    counts.append(n[top])
+                    grams.append(g)
+                    counts.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "grams", "counts"])
 
     table = drawn.mapInArrow(counted, "lang string, grams array<int>, counts array<int>").toArrow()
     langs = table.column("lang").to_pylist()
     if not langs:
         return Model([], np.array([], np.int64), np.array([]), 1.0, np.zeros((0, 0)), np.ones(25))
-    grams = [np.array(g, np.int64) for g in table.column("grams").to_pylist()]
-    counts = [np.array(c, np.float32) for c in table.column("counts").to_pylist()]
+    grams = [g.values.to_numpy() for g in table.column("grams")]
+    counts = [c.values.to_numpy() for c in table.column("counts")]
     seen, often = np.unique(np.concatenate(grams), return_counts=True)
     known = np.sort(seen[np.argsort(-often, kind="stable")[:FEATURES]])
     df = often[np.searchsorted(seen, known)]
     idf = np.log((1 + len(langs)) / (1 + df)) + 1
     model = Model([], known, idf, float(np.log(1 + len(langs)) + 1), np.zeros((len(known), 0), np.float32), np.ones(25))
     lookup = model.lookup()
-    vectors = np.array([model.vector(np.repeat(g, c.astype(int)), lookup) for g, c in zip(grams, counts, strict=True)])
+    vectors = np.array([model.vector(np.repeat(g, c), lookup) for g, c in zip(grams, counts, strict=True)])
     order = np.lexsort((vectors @ np.arange(1, vectors.shape[1] + 1), langs))  # however Spark returned them
     vectors, langs = vectors[order], [langs[i] for i in order]
     sizes = np.array([c.sum() for c in counts])[order]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlattice.llm.common import row_ids, settled, written
+from turnlattice.llm.common import hidden, row_ids, settled, written
 
 WORDS, DISTANCE, PARTS, HOT = 3, 2, 3, 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -209,10 +209,12 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, distance: int = DI
 def representatives(documents: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """The rows of `documents` with one of each group of near-duplicates: that of the smallest doc_id; all columns.
 
-    `documents` is read once: its rows are numbered in a written table.
+    Null and empty texts are alike; of rows that are equal one stays; an empty table gives no rows. Columns of any name stay
+    as they are. `documents` is read once: its rows are numbered in a written table.
     """
-    rows = written(row_ids(documents, "_at"))
-    found = settled(documents.sparkSession, lambda: near_duplicates(rows.select(F.col("_at").alias("doc_id"), "text"), words, distance).select(F.col("doc_id").alias("_at"), "component_id"))
-    ranked = rows.select("_at", "doc_id").join(found, "_at")
-    best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at")).alias("_best")).select(F.col("_best._at").alias("_at"))
-    return rows.join(best, "_at", "left_semi").drop("_at")
+    at, = hidden(documents, "_at")
+    rows = written(row_ids(documents, at))
+    found = settled(documents.sparkSession, lambda: near_duplicates(rows.select(F.col(at).alias("doc_id"), "text"), words, distance).select(F.col("doc_id").alias("_at"), "component_id"))
+    placed = rows.select(F.col(at).alias("_at"), "doc_id").join(found, "_at")
+    best = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at")).alias("_best")).select(F.col("_best._at").alias(at))
+    return rows.join(best, at, "left_semi").drop(at)

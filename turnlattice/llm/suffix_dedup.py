@@ -8,11 +8,12 @@ the next sort; the rounds end at `length`.
 Ranking every byte's place would sort 16 bytes and more for each byte of text in every round. Places that can't repeat, or
 whose answer follows from others, are left out before, which loses none:
 
+0. Of equal rows one goes on; all are repeated as a whole.
 1. Of all GRAM-byte strings in a window of `length` bytes, the one with the least hash (the leftmost of equals) anchors it, in
    every copy of the window alike. Neighbouring windows with one anchor are a run. Runs whose anchor's hash is unique have no
    repeated window. The others are sorted by (hash, SHA-256 of their bytes); equal runs are repeated as a whole, and one of
-   them stands for all in what follows. That is the one place where a digest stands for bytes: 256 bits, of which no two
-   equal ones are known for different bytes. All other ranks come from the bytes themselves.
+   them stands for all in what follows. Equal rows and equal runs are the places where a digest stands for bytes: of 256
+   bits, for which no two different strings with one digest are known. All other ranks come from the bytes themselves.
 2. Places at every `unit` bytes from the anchor are ranked by their first 2 units, and ranks are doubled (50, 100, 200 bytes
    with a unit of 25), always within one anchor and distance from it, as equal windows agree in both. Pairs at a last offset
    give the ranks of `length` - `unit` bytes, which all windows in a cell (from one place to the next) contain, and of
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import forget, hidden, release, row_ids, settled, utf8, written
+from turnlattice.llm.common import forget, hidden, release, row_ids, settled, sliced, utf8, written
 from turnlattice.llm.sorted_ranks import ranked
 
 #: Bytes of a repeated string, of the anchors, and of a step between ranked places.
@@ -91,7 +92,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     """_row, low, high, anchor, gram of all runs in `rows` (_row, data)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             numbers, data = batch.column("_row").to_pylist(), batch.column("data")
             out = [(row, *r) for i, row in enumerate(numbers) for r in anchored_runs(data[i].as_py(), length)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -143,12 +144,17 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
         raise ValueError("the length must be a multiple of the unit, above two units and above GRAM")
     spark = rows.sparkSession
     units = length // unit
-    runs = written(_runs(rows, length))
+    # of equal rows, one goes on; all are repeated as a whole
+    light = written(rows.filter(F.octet_length("data") >= length).select("_row", F.octet_length("data").alias("end"), F.unhex(F.sha2("data", 256)).alias("digest")))
+    alike = written(light.groupBy("digest").agg(F.min("_row").alias("first"), F.count("*").alias("n")))
+    copies = written(light.join(alike.filter("n > 1").select("digest"), "digest", "left_semi").select("_row", F.lit(0).alias("start"), "end"))
+    different = chunks.within(rows, "_row", alike.select("first"))
+    runs = written(_runs(different, length))
     grams = written(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     held = written(chunks.within(runs, "gram", grams).groupBy("_row").agg(F.collect_list(F.struct("low", "high", "anchor", "gram")).alias("runs")))
     release(spark)
 
-    forget(runs, grams)
+    forget(runs, grams, light, alike)
     release(spark)
 
     cut = _cut(rows, held, F.col("r.low"), F.col("r.high") + length).select("_row", "r.*", F.unhex(F.sha2("bytes", 256)).alias("digest"))
@@ -199,31 +205,37 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     ends = ranked(ends.withColumnRenamed("name", "cell"), ["cell", "e", "rest"], "run").filter("again and open").select("run", "place")
     both = per_run.filter("single and least is not null").select("run", F.explode(F.array("least", "most")).alias("place")).unionByName(ends)
     spans = both.groupBy("run").agg(F.min("place").alias("start"), (F.max("place") + length).alias("end")).join(per_run.select("run", "_row"), "run").select("_row", "start", "end")
-    out = written(whole.unionByName(spans))
+    out = written(copies.unionByName(whole).unionByName(spans))
     release(spark)
     return out
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def merged(sizes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of several rows (so many each) merged where they meet: the same three arrays."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((start, row))
+    base = row.astype(np.int64) << 32  # a row's places come after all of the row before
+    start, end = base + start[by], np.maximum.accumulate(base + end[by])
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = start[1:] > end[:-1]
+    at = np.flatnonzero(fresh)
+    last = np.append(at[1:], len(start)) - 1
+    return np.bincount(row[at], minlength=len(sizes)), (start[at] - base[at]).astype(np.int32), (end[last] - base[at]).astype(np.int32)
 
 
 def _unions(spans: DataFrame) -> DataFrame:
     """_row and its spans, merged where they meet, in order."""
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"start": a, "end": b} for a, b in _merged([(s["start"], s["end"]) for s in own])] for own in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, kind)], ["_row", "spans"])
-
-    return spans.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(merged, "_row long, spans array<struct<start int, end int>>")
+            lists = batch.column("spans")
+            start, end = (x.to_numpy() for x in lists.flatten().flatten())
+            sizes, start, end = merged(lists.value_lengths().to_numpy(zero_copy_only=False), start, end)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), found], ["_row", "spans"])
+
+    return spans.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(union, "_row long, spans array<struct<start int, end int>>")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from turnlattice.llm.common import crc_mod
 
-#: Bounds of the fit: documents a class, different words of each.
-SAMPLE, SAMPLE_WORDS = 3000, 4000
+#: Bound of the fit: documents a class; each is read whole.
+SAMPLE = 3000
 #: Words are hashed to so many weights.
 WEIGHTS = 1 << 18
 STEPS, RATE, DECAY = 150, 0.15, 5e-6
@@ -76,8 +76,13 @@ def noisy_or(scores: list[float]) -> float:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the documents (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1."""
-    drawn = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(11)).alias("_draw"))
+    """A model from the documents (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1.
+
+    Of several labels for one doc_id the greatest counts; repeated documents count each, as long as `sample` doc_ids a class
+    have them. Without documents of both classes the model answers one score for all.
+    """
+    marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = marked.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(11)).alias("_draw"))
     chosen = None
     for value in (0, 1):
         part = drawn.filter(F.col("toxic") == value).orderBy("_draw", "doc_id").limit(sample).select("doc_id", "toxic")
@@ -88,7 +93,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             toxic, place, words = [], [], []
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pairs = [(i, b) for i, s in enumerate(sentences(text or "")) for b in {bucket(w) for w in s}][:SAMPLE_WORDS]
+                pairs = [(i, b) for i, s in enumerate(sentences(text or "")) for b in sorted({bucket(w) for w in s})]
                 toxic.append(label)
                 place.append([i for i, _ in pairs])
                 words.append([b for _, b in pairs])
@@ -96,15 +101,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # two samples of fixed size are broadcast
     table = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bags, "toxic int, place array<int>, words array<int>").toArrow()
-    return learned(table.column("toxic").to_numpy(), table.column("place").to_pylist(), table.column("words").to_pylist(), totals)
+    return learned(table.column("toxic").to_numpy(), [p.values.to_numpy() for p in table.column("place")], [w.values.to_numpy() for w in table.column("words")], totals)
 
 
-def learned(toxic: np.ndarray, places: list, buckets: list, totals: dict) -> Model:
+def learned(toxic: np.ndarray, places: list[np.ndarray], buckets: list[np.ndarray], totals: dict) -> Model:
     """A model from bags: per document its label and, pairwise, sentence numbers and word buckets; totals: labels in the whole table."""
     if not len(toxic) or not toxic.any() or toxic.all():  # nothing to tell apart
         return Model(-4.0 if not len(toxic) or not toxic.any() else 4.0, np.zeros(WEIGHTS))
-    place = [np.array(p, np.int64) for p in places]
-    words = np.concatenate([np.array(w, np.int64) for w in buckets])
+    place = [p.astype(np.int64) for p in places]
+    words = np.concatenate(buckets).astype(np.int64)
     n_sentences = np.array([int(p.max()) + 1 if len(p) else 1 for p in place])
     first = np.concatenate([[0], np.cumsum(n_sentences)[:-1]])
     sentence = np.concatenate([p + f for p, f in zip(place, first, strict=True)])

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlattice.llm.common import row_ids
+from turnlattice.llm.common import row_ids, written
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-URLS_A_SALT = 50_000
+URLS_A_SALT, HOT_SHARE = 50_000, 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,11 +55,15 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", urls_a_sa
     suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice(F.col("_labels"), i, F.size("_labels")), "."))
     offered = parts.withColumn("_labels", labels).select("_row", "path", F.explode(suffixes).alias("suffix"))
     stacks = _stacks(rules)
-    known = stacks.select("suffix").distinct()
-    offered = offered.join(known, "suffix", "left_semi")
-    salts = offered.groupBy("suffix").count().select("suffix", F.ceil(F.col("count") / urls_a_salt).cast("int").alias("salts"))
+    # a row for each suffix that has rules and urls; those with many urls are at most HOT_SHARE, and are joined by broadcast
+    counts = written(offered.groupBy("suffix").agg(F.count("*").alias("n")).join(stacks.select("suffix").distinct(), "suffix"))
+    salts = counts.select("suffix", F.ceil(F.col("n") / urls_a_salt).cast("int").alias("salts"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") * HOT_SHARE >= total).select("suffix")
+    tagged = offered.join(F.broadcast(salts.join(hot, "suffix")), "suffix", "left")
+    rest = tagged.filter("salts is null").drop("salts").join(salts.join(hot, "suffix", "left_anti"), "suffix")
     hollow = F.lit(None).cast(stacks.schema["stack"].dataType)
-    keys = offered.join(salts, "suffix").select("suffix", F.pmod(F.xxhash64("_row"), F.col("salts")).cast("int").alias("salt"), _canonical("suffix", "path").alias("key"), "_row", hollow.alias("stack"))
+    keys = tagged.filter("salts is not null").unionByName(rest).select("suffix", F.pmod(F.xxhash64("_row"), F.col("salts")).cast("int").alias("salt"), _canonical("suffix", "path").alias("key"), "_row", hollow.alias("stack"))
     opened = stacks.join(salts, "suffix").select("suffix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", F.lit(None).cast("long").alias("_row"), "stack")
     # a rule comes before the keys that equal it
     order = Window.partitionBy("suffix", "salt").orderBy("key", F.col("stack").isNull()).rowsBetween(Window.unboundedPreceding, 0)
