@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnlattice.functions import counters as rng
 from turnlattice.operators import states as st
 from turnlattice.operators import universe
-from turnlattice.plans import kernel, play
+from turnlattice.plans import kernel, play, positions
 from turnlattice.plans.model_queries import TWO_LEFT, longs
 from turnlattice.plans.solve import solve
 
@@ -173,3 +173,51 @@ def verify_run(spark, sf_dir):
     row = v.agg(F.count("*").alias("states"), F.count_if(F.isnan("value") | ~inside).alias("outside"), F.count_if((F.col("layer") == 15) & (F.col("value") != 0)).alias("terminal"), F.max(F.col("upper_bound") - F.col("lower")).alias("width"), F.max(F.when((F.col("mask") == 0) & (F.col("upper") == 0), F.col("value"))).alias("start"))
     checks = F.array(*[F.struct(F.lit(n).alias("id"), c.alias("passed")) for n, c in (("states", F.col("states") == 1430528), ("contained", F.col("outside") == 0), ("terminal_zero", F.col("terminal") == 0), ("width", F.col("width") <= 3.21e-5), ("start", F.abs(F.col("start") - 248.43998937785537) < 1e-9))])
     return row.select(F.explode(checks).alias("c")).select("c.id", "c.passed")
+
+
+def _even(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """At most 32 evenly spaced states of each layer (339,444 positions), and the margins of all of them."""
+    chosen = positions.even_states(st.states(spark))
+    asked = positions.all_positions(spark, chosen).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mask", "upper")
+    return chosen, positions.margins(positions.actions(asked, positions.Solved(spark, solve(spark)))).join(universe.wide_scores(spark).select("roll_id", "multiplicity"), "roll_id")
+
+
+@query
+def structural_strata_all(spark, sf_dir):
+    """Positions, weight, margin and share parted by bounds, by layer, rerolls and size of the best keeper (-1: scoring), over all layers."""
+    chosen, found = _even(spark)
+    rows = found.join(chosen, ["mask", "upper"])
+    weight = F.col("weight") * F.col("multiplicity") / 7776
+    return longs(rows.groupBy("layer", "rerolls", "size").agg(F.count("*").alias("positions"), F.round(F.sum(weight), 6).alias("weight"), F.round(F.sum(weight * F.coalesce("margin", F.lit(0.0))) / F.sum(weight), 6).alias("margin"), F.round(F.avg(F.coalesce("parted", F.lit(True)).cast("int")), 6).alias("parted")))
+
+
+@query
+def decision_atlas_all(spark, sf_dir):
+    """The best action of every position of the evenly spaced states of all layers, with its value and margin."""
+    chosen, found = _even(spark)
+    return longs(found.join(chosen, ["mask", "upper"]).select("layer", "mask", "upper", "roll_id", "rerolls", "action", "size", "actions", F.round("value", 6).alias("value"), F.round("margin", 6).alias("margin"), "multiplicity"))
+
+
+def audited(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """By stage: codes of `table` (mask, policy: 756 bytes) that tasks have seen, and those that the rules don't allow there."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = np.array([r["n"] for r in universe.legal(spark).groupBy("roll_id").agg(F.count("*").alias("n")).orderBy("roll_id").collect()])  # 252 rows
+
+    def counted(batches):
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column("policy").to_pylist()), np.uint8).reshape(-1, 3, 252).astype(np.int64)
+            mask = batch.column("mask").to_numpy().astype(np.int64)[:, None, None]
+            used = (codes < 16) & ((mask >> np.minimum(codes, 15) & 1 == 1) | (codes == 15))
+            keeper = (codes >= 16) & ((np.arange(3)[None, :, None] == 0) | (codes - 16 >= sizes[None, None, :]))
+            illegal = (used | keeper).sum(axis=(0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array([len(codes) * 252] * 3, pa.int64()), pa.array(illegal, pa.int64())], ["stage", "codes", "illegal"])
+
+    return table.filter("layer < 15").select("mask", "policy").mapInArrow(counted, "stage long, codes long, illegal long").groupBy("stage").agg(F.sum("codes").alias("codes"), F.sum("illegal").alias("illegal"))
+
+
+@query
+def policy_audit_all(spark, sf_dir):
+    """Illegal codes among the 756 of every state that has a turn left (1.08e9 codes), counted in tasks: none."""
+    return audited(spark, solve(spark, policy=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import tempfile
 from collections.abc import Iterator
 
@@ -10,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlattice.functions import dice
+from turnlattice.operators import states as state_rules
+from turnlattice.operators import universe
 from turnlattice.operators.states import states
 from turnlattice.plans import kernel
 
@@ -21,14 +26,20 @@ def _folder(spark: SparkSession) -> str:
     return f"{configured or tempfile.mkdtemp()}/solve"
 
 
+def _version(single_pair: bool, policy: bool) -> str:
+    """A digest of the rules and of the code that computes the tables: tables of other rules or code are not taken up again."""
+    parts = [inspect.getsource(m) for m in (kernel, universe, dice, state_rules)] + [SCHEMA, str(single_pair), str(policy)]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
 def solve(spark: SparkSession, path: str | None = None, single_pair: bool = False, policy: bool = False, resume: bool = True) -> DataFrame:
     """Values and bounds of all states, written by layer under `path` (in the shared folder if none is given).
 
-    A layer whose `_SUCCESS` is there is not computed again if `resume`. A task gets the values of the next layer as a
+    A layer whose `_SUCCESS` is there is not computed again if `resume`; the folder's name holds a digest of rules and code. A task gets the values of the next layer as a
     broadcast of 16 MiB, which is fixed by the model. `policy` adds a column of 756 action codes a state, which stays in the
     tables and never goes to the driver.
     """
-    path = path or f"{_folder(spark)}/{'pair' if single_pair else 'plain'}{'-policy' if policy else ''}"
+    path = f"{path or _folder(spark)}/{'pair' if single_pair else 'plain'}{'-policy' if policy else ''}-{_version(single_pair, policy)}"
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(hadoop)
