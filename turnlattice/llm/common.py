@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The bytes of an Arrow batch, by which Spark hands rows to Python; with texts, ten thousand rows are a lot of memory.
+BATCH_BYTES = 4 << 20
+
 #: The written tables that are still there, and the frames that read them.
 _TABLES: list[str] = []
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -21,9 +24,20 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches in `spark` end at BATCH_BYTES, unless a session has a setting of its own; no result depends on it.
+
+    The setting stays, since frames that operators return are run after they have returned.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if re.fullmatch(r"\d+b", spark.conf.get(name)):  # a default is told in bytes
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only on a local master without it."""
     context = spark.sparkContext
@@ -51,6 +65,7 @@ def written(frame: DataFrame) -> DataFrame:
     The table goes when the session's Python ends.
     """
     spark = frame.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/turnlattice-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     _TABLES.append(path)

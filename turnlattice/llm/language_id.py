@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlattice.llm.common import crc_mod
+from turnlattice.llm.common import bound_batches, crc_mod
 
 #: Bounds of the fit: texts a language (each is read whole), trigrams that the model knows.
 SAMPLE, FEATURES = 500, 6000
@@ -158,6 +158,7 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
     nothing. Repeated rows are answered each; an empty table gives no rows. All other columns stay, those of the same names
     apart.
     """
+    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

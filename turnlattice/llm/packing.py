@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnlattice.llm.common import octet_of
+from turnlattice.llm.common import bound_batches, octet_of
 
 WIDTH, END_ID = 2048, 1
 #: Words that a task remembers the ids of at most.
@@ -169,6 +169,7 @@ def packed(documents: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int
     `sequence_id` is unique, not gapless: the task's number and a number in it. A task that is run again reads the same
     rows in the same order and so packs them alike.
     """
+    bound_batches(documents.sparkSession)
     end = array("I", [end_id]).tobytes()
     kind = documents.schema["doc_id"].dataType
 
