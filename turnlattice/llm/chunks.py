@@ -118,14 +118,19 @@ def broadcast_filter(longs: DataFrame):
     return longs.sparkSession.sparkContext.broadcast(membership(longs))
 
 
+def bounded_filter(longs: DataFrame):
+    """A broadcast filter of a written table of longs; None where there are too many for its size."""
+    return broadcast_filter(longs) if BITS_A_KEY * longs.count() <= MOST_BITS else None
+
+
 def within(frame: DataFrame, column: str, longs: DataFrame) -> DataFrame:
     """The rows of `frame` whose long `column` stands in the one column of `longs`, a written table; and maybe a few more.
 
     By a broadcast filter as long as its size is bounded, else by a join.
     """
-    if BITS_A_KEY * longs.count() > MOST_BITS:
+    table = bounded_filter(longs)
+    if table is None:
         return frame.join(longs.toDF(column), column, "left_semi").select(*frame.columns)
-    table = broadcast_filter(longs)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,11 +88,16 @@ def anchored_runs(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def _runs(rows: DataFrame, length: int) -> DataFrame:
-    """_row, low, high, anchor, gram of all runs in `rows` (_row, data)."""
+def _runs(rows: DataFrame, length: int, chosen: DataFrame) -> DataFrame:
+    """_row, low, high, anchor, gram of all runs in those `rows` (_row, data) that `chosen` names, and maybe in a few more."""
+    table = chunks.bounded_filter(chosen)
+    if table is None:
+        rows = rows.join(chosen.toDF("_row"), "_row", "left_semi")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1000):
+            if table is not None:
+                batch = batch.filter(pa.array(chunks.members(table.value, batch.column("_row").to_numpy())))
             numbers, data = batch.column("_row").to_pylist(), batch.column("data")
             out = [(row, *r) for i, row in enumerate(numbers) for r in anchored_runs(data[i].as_py(), length)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -148,8 +153,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     light = written(rows.filter(F.octet_length("data") >= length).select("_row", F.octet_length("data").alias("end"), F.unhex(F.sha2("data", 256)).alias("digest")))
     alike = written(light.groupBy("digest").agg(F.min("_row").alias("first"), F.count("*").alias("n")))
     copies = written(light.join(alike.filter("n > 1").select("digest"), "digest", "left_semi").select("_row", F.lit(0).alias("start"), "end"))
-    different = chunks.within(rows, "_row", alike.select("first"))
-    runs = written(_runs(different, length))
+    runs = written(_runs(rows, length, alike.select("first")))
     grams = written(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     held = written(chunks.within(runs, "gram", grams).groupBy("_row").agg(F.collect_list(F.struct("low", "high", "anchor", "gram")).alias("runs")))
     release(spark)
@@ -157,9 +161,11 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     forget(runs, grams, light, alike)
     release(spark)
 
-    cut = _cut(rows, held, F.col("r.low"), F.col("r.high") + length).select("_row", "r.*", F.unhex(F.sha2("bytes", 256)).alias("digest"))
+    # a sort by range reads its rows twice, so that the texts are joined before
+    cut = written(_cut(rows, held, F.col("r.low"), F.col("r.high") + length).select("_row", "r.*", F.unhex(F.sha2("bytes", 256)).alias("digest")))
+    release(spark)
     kinds = written(ranked(cut, ["gram", "digest"], "_row", kept=["gram"]))
-    forget(held)
+    forget(held, cut)
     release(spark)
     whole = kinds.filter("again").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
     # of equal runs, one goes on; its windows are known to be repeated, but others may equal them
