@@ -1 +1 @@
-"""Training-data operators on Spark: ten dealt operators, their queries and their SQL."""
+"""Training-data operators on Spark: the dealt operators, their queries and their SQL."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlattice.llm import bpe_reuse, exact_names, language_id, line_spread, media_chunks, packing, simhash, suffix_dedup, toxicity, url_rules
+from turnlattice.llm import bpe_reuse, centroid_clusters, exact_names, language_id, line_spread, media_chunks, packing, simhash, suffix_dedup, token_counts, toxicity, turn_repair, url_rules
 from turnlattice.llm.common import crc_mod, documents
 
 
@@ -55,9 +55,24 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark, url_rules.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_centroids, op2_line_spread, op3_suffix_dedup, op4_media_chunks, op5_sum_of_squares, op6_simhash, op7_exact_names, op8_sentence_bags, op9_bpe_reuse, op10_url_rules)}
+def op11_array_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_elkan_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turn_repair.repairs(rows, turn_repair.damaged(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_centroids, op2_line_spread, op3_suffix_dedup, op4_media_chunks, op5_sum_of_squares, op6_simhash, op7_exact_names, op8_sentence_bags, op9_bpe_reuse, op10_url_rules, op11_array_merges, op12_elkan_bounds, op13_turn_repair)}
 
 ORACLE_SQL = {
+    "op12_elkan_bounds": centroid_clusters.ORACLE,
+    "op13_turn_repair": turn_repair.ORACLE,
     "op2_line_spread": line_spread.ORACLE,
     "op7_exact_names": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
