@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnlattice.functions import counters as rng
 from turnlattice.functions import dice
+from turnlattice.operators import selection
 from turnlattice.operators import statistics as stat
 from turnlattice.plans import kernel, model_queries, play
 from turnlattice.plans.solve import solve
@@ -74,7 +75,7 @@ def test_statistics_edges(spark):
     bins = spark.createDataFrame([(0.0,), (0.05,), (9.99,), (10.0,), (float("inf"),)], "m double").select(stat.margin_bin(F.col("m")).alias("b"))
     assert [r.b for r in bins.collect()] == [0, 7, 12, 13, 13]
     with pytest.raises(ValueError):
-        stat.even_sample(flat, "x", 1)
+        selection.even_sample(flat, "x", 1)
 
 
 @pytest.fixture(scope="module")

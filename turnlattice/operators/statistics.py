@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlattice.operators.quantiles import exact_quantiles
+from turnlattice.sources.shared import written
+
 #: Normal quantiles, the quantiles and thresholds that reports show, the edges of margin bins.
 Z95, Z99 = 1.959963984540054, 2.5758293035489004
 QUANTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -81,21 +84,17 @@ def margin_bin(x: Column) -> Column:
 
 
 def paired(frame: DataFrame, difference: str) -> DataFrame:
-    """One row on paired differences: n, mean, sd, se, ci95, min, max, median (the mean of the two middles), win, tie and loss shares."""
+    """One row on paired differences: n, mean, sd, se, ci95, min, max, median (the mean of the two middles), win, tie and loss shares.
+
+    The median is selected by rounds of counts (`quantiles`), so that no task gathers the differences.
+    """
     d = F.col(difference).cast("double")
-    out = frame.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), F.min(d).alias("min"), F.max(d).alias("max"), F.percentile(d, 0.5).alias("median"), F.avg((d > 0).cast("int")).alias("win_rate"), F.avg((d == 0).cast("int")).alias("tie_rate"), F.avg((d < 0).cast("int")).alias("loss_rate"))
-    se = F.col("sd") / F.sqrt("n")
-    return out.withColumn("se", se).withColumn("ci95_low", F.col("mean") - Z95 * se).withColumn("ci95_high", F.col("mean") + Z95 * se)
-
-
-def even_sample(frame: DataFrame, order: str, n: int, *by: str) -> DataFrame:
-    """n rows (at least 2) of each group at the places floor(i (len - 1) / (n - 1)); all rows of smaller groups."""
-    if n < 2:
-        raise ValueError("n: at least 2")
-    ranked = frame.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    sizes = frame.groupBy(*by).agg(F.count("*").alias("_len"))
-    wanted = sizes.withColumn("_at", F.explode(F.when(F.col("_len") <= n, F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_len") - 1) / (n - 1))))))
-    return ranked.join(wanted.select(*by, F.col("_at").cast("int").alias("_at")), [*by, "_at"], "left_semi").drop("_at")
+    rows = written(frame.select(d.alias("_d")))  # read some times
+    median = F.lit(exact_quantiles(rows, "_d", [0.5], linear=True)[0]).cast("double")
+    d = F.col("_d")
+    out = rows.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), F.min(d).alias("min"), F.max(d).alias("max"), F.avg((d > 0).cast("int")).alias("win_rate"), F.avg((d == 0).cast("int")).alias("tie_rate"), F.avg((d < 0).cast("int")).alias("loss_rate"))
+    se = F.col("sd") / F.sqrt(F.nullif(F.col("n"), F.lit(0)))
+    return out.withColumn("median", median).withColumn("se", se).withColumn("ci95_low", F.col("mean") - Z95 * se).withColumn("ci95_high", F.col("mean") + Z95 * se)
 
 
 def latest(frame: DataFrame, key: str, *order: str) -> DataFrame:

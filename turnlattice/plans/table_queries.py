@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from turnlattice.functions import counters as rng
 from turnlattice.functions import dice
 from turnlattice.functions.dice import COUNTS
+from turnlattice.operators import selection
 from turnlattice.operators import statistics as stat
 from turnlattice.plans import oracles as o
 from turnlattice.plans.model_queries import longs
@@ -351,7 +352,7 @@ def modulo_sample(spark, sf_dir):
 SELECT o_orderpriority, o_orderkey FROM r WHERE n <= 32 OR list_contains([(i * (n - 1)) // 31 FOR i IN range(32)], place)""")
 def even_sample(spark, sf_dir):
     """32 evenly spaced orders a priority; the sample is the operator."""
-    return stat.even_sample(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderkey", 32, "o_orderpriority")
+    return selection.even_sample(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderkey", 32, "o_orderpriority")
 
 
 _BINS = "CASE " + " ".join(f"WHEN m >= {a} AND m < {b} THEN {i}" for i, (a, b) in enumerate(zip(stat.MARGIN_EDGES, stat.MARGIN_EDGES[1:]))) + f" ELSE {len(stat.MARGIN_EDGES) - 1} END"
