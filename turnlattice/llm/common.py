@@ -9,17 +9,19 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bytes of an Arrow batch, by which Spark hands rows to Python; with texts, ten thousand rows are a lot of memory.
 BATCH_BYTES = 4 << 20
 
-#: The written tables that are still there, and the frames that read them.
-_TABLES: list[str] = []
+#: The written tables by the frames that read them, and those that the innermost `settled` of this thread has seen.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,8 @@ def written(frame: DataFrame) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_folder(spark)}/turnlattice-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    _TABLES.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     atexit.register(_remove, weakref.ref(spark), path)
     out = spark.read.schema(frame.schema).parquet(path)
     _PATHS[out] = path
@@ -78,17 +81,23 @@ def written(frame: DataFrame) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `written` has returned and nothing reads any more."""
     for table in tables:
-        _remove(weakref.ref(table.sparkSession), _PATHS[table])
-        _TABLES.remove(_PATHS.pop(table))
+        _remove(weakref.ref(table.sparkSession), _PATHS.pop(table))
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
-    """build() as a written table. The tables that it wrote on its way are deleted, and shuffle files with them."""
-    before = len(_TABLES)
-    out = written(build())
-    for path in _TABLES[before:-1]:
+    """build() as a written table. The tables that it wrote on its way are deleted, and shuffle files with them.
+
+    Tables that other threads write meanwhile stay.
+    """
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        frame = build()
+    finally:
+        _OWN.reset(token)
+    out = written(frame)
+    for path in own:
         _remove(weakref.ref(spark), path)
-    del _TABLES[before:-1]
     release(spark)
     return out
 
@@ -108,6 +117,28 @@ def _remove(session: weakref.ref, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def with_answers(frame: DataFrame, added: list[T.StructField], begin: Callable[[], Callable[[pa.Array], list[tuple]]]) -> DataFrame:
+    """`frame` with the columns `added`, in place of those that have such names already.
+
+    begin() is called once in each task; what it returns gives a tuple of the new values for each of a batch's texts. Columns
+    of any type and name stay; they have plain names within, as Spark takes dots and back quotes in names apart.
+    """
+    rest = frame.drop(*(f.name for f in added))
+    plain = [f"c{i}" for i in range(len(rest.columns))]
+    text = rest.columns.index("text")
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = begin()
+        for batch in batches:
+            columns = list(zip(*answer(batch.column(text)), strict=True)) if batch.num_rows else [[] for _ in added]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*plain, *names])
+
+    names = [f"n{i}" for i in range(len(added))]
+    kinds = [{"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()] for f in added]
+    fields = [T.StructField(n, f.dataType) for n, f in zip([*plain, *names], [*rest.schema, *added], strict=True)]
+    return rest.toDF(*plain).mapInArrow(answered, T.StructType(fields)).toDF(*rest.columns, *(f.name for f in added))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

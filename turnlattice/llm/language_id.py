@@ -5,8 +5,8 @@ Trigrams that the model doesn't know lengthen the vector but match nothing. Each
 spherical k-means over a bounded sample of labelled texts; the nearest by cosine gives the language, and a text that is too
 far from all is rejected.
 
-Vectors of single trigrams: `fit` reads at most about `sample` texts a language, chosen by a hash of doc_id, whatever
-the size of the corpus; scoring is a map over all texts.
+Vectors of single trigrams: `fit` reads at most `sample` texts a language, chosen by a hash of doc_id and text, whatever the
+size of the corpus; scoring is a map over all texts.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnlattice.llm.common import bound_batches, crc_mod
+from turnlattice.llm.common import bound_batches, crc_mod, with_answers
 
 #: Bounds of the fit: texts a language (each is read whole), trigrams that the model knows.
 SAMPLE, FEATURES = 500, 6000
@@ -96,14 +97,18 @@ def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows (doc_id, text, lang) with a text and a lang. Repeated rows count each; from none nothing is learned.
 
-    The driver gets the trigram counts of about `sample` whole texts a language.
+    The driver gets the trigram counts of at most `sample` whole texts a language. A row is drawn by a hash of its doc_id and
+    text, so that neither null nor repeated ids share a draw; of each language the least draw is in, however few there are.
     """
-    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 30)).alias("_draw"))
-    shares = {r["lang"]: sample / r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not shares:
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit(7)), F.lit(1 << 30))
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", draw.alias("_draw"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("_draw").alias("least")).collect()  # a row a language
+    if not counts:
         return Model([], np.array([], np.int64), np.array([]), 1.0, np.zeros((0, 0)), np.ones(25))
-    cases = F.create_map(*[x for lang, share in sorted(shares.items()) for x in (F.lit(lang), F.lit(int(min(1.0, share) * (1 << 30))))])
-    drawn = rows.filter(F.col("_draw") < cases[F.col("lang")]).select("lang", "text")
+    limits = F.create_map(*[x for r in sorted(counts) for x in (F.lit(r["lang"]), F.lit(max(r["least"], int(min(1.0, sample / r["n"]) * (1 << 30)))))])
+    # equal rows share a draw: tasks drop what is beyond the sample before it is shuffled
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "text"))
+    drawn = rows.filter(F.col("_draw") <= limits[F.col("lang")]).withColumn("_place", place).filter(F.col("_place") <= sample).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,19 +166,12 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
     bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         own = shared.value
         lookup = own.lookup()
-        for batch in batches:
-            texts = batch.column("text")
-            found = [own.nearest(texts[i].as_py() or "", lookup) for i in range(batch.num_rows)]
-            columns = list(zip(*found, strict=True)) if found else [[]] * 3
-            kept = [(n, batch.column(n)) for n in batch.schema.names if n not in ("lang_pred", "score", "rejected")]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.float64(), pa.bool_()], strict=True)], [n for n, _ in kept] + ["lang_pred", "score", "rejected"])
-
-    rest = documents.drop("lang_pred", "score", "rejected")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "lang_pred string, score double, rejected boolean"])
-    return rest.mapInArrow(nearest, schema)
+        return lambda texts: [own.nearest(t.as_py() or "", lookup) for t in texts]
+
+    return with_answers(documents, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())], begin)
 
 
 def training(documents: DataFrame) -> DataFrame:

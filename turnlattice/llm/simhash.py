@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlattice.llm.common import hidden, row_ids, settled, written
+from turnlattice.llm.common import forget, hidden, row_ids, settled, written
 
 WORDS, DISTANCE, PARTS, HOT = 3, 2, 3, 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -113,7 +113,9 @@ def _probe(part: int, whole: int):
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, hot: int = HOT) -> DataFrame:
-    """Links (a, b), a > b, that connect all different fingerprints of `nodes` (fp) within `distance` bits."""
+    """Links (a, b), a > b, that connect all different fingerprints of `nodes` (fp) within `distance` bits, an even number."""
+    if distance % 2:  # an odd distance has no middle: one side would name one bit more
+        raise ValueError("the distance must be even")
     groups = bit_groups(nodes, parts)
     wholes = [_masks(g, len(g))[0] for g in groups]
     values = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(w).cast("long")) for w in wholes])).alias("part", "value"))
@@ -155,8 +157,6 @@ def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, hot: i
     crowd = probed.filter(F.col("n") > hot)
     members = values.join(crowd.select("part", "value").distinct(), ["part", "value"], "left_semi").select("fp")
     crowd = crowd.select("fp").unionByName(members).distinct()
-    if distance % 2:  # an odd distance has no middle: one side names one bit more
-        raise ValueError("the distance must be even")
     flips = [0] + [m for r in range(1, distance // 2 + 1) for m in _masks(list(range(64)), r)]
     named = crowd.select("fp", F.explode(F.transform(_longs(flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("name"))
     # at most as many fingerprints share a name as there are flips
@@ -183,8 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(now)
     while True:
-        now = written(star(star(now, True), False))
-        after = state(now)
+        following = written(star(star(now, True), False))
+        forget(now)
+        now, after = following, state(following)
         if after == before:
             break
         before = after

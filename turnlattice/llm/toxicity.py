@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnlattice.llm.common import crc_mod
+from turnlattice.llm.common import crc_mod, with_answers
 
 #: Bound of the fit: documents a class; each is read whole.
 SAMPLE = 3000
@@ -78,8 +79,8 @@ def noisy_or(scores: list[float]) -> float:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the documents (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1.
 
-    Of several labels for one doc_id the greatest counts; repeated documents count each, as long as `sample` doc_ids a class
-    have them. Without documents of both classes the model answers one score for all.
+    Of several labels for one doc_id the greatest counts, and of several documents one, so that the driver gets at most `sample`
+    texts a class, as hashes of their words. Without documents of both classes the model answers one score for all.
     """
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = marked.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(11)).alias("_draw"))
@@ -100,7 +101,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(place, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], ["toxic", "place", "words"])
 
     # two samples of fixed size are broadcast
-    table = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bags, "toxic int, place array<int>, words array<int>").toArrow()
+    held = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    single = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = single.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bags, "toxic int, place array<int>, words array<int>").toArrow()
     return learned(table.column("toxic").to_numpy(), [p.values.to_numpy() for p in table.column("place")], [w.values.to_numpy() for w in table.column("words")], totals)
 
 
@@ -154,24 +157,20 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     empty text counts as one sentence without words. Repeated rows are answered each; an empty table gives no rows. All
     other columns stay, those of the same names apart.
     """
-    added = ("score", "predicted", "n_offending", "worst_sentence")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts, found = batch.column("text"), []
-            for i in range(batch.num_rows):
-                own = scorer.sentence_scores(texts[i].as_py() or "")
-                whole = noisy_or(own)
-                found.append((whole, int(whole >= 0.5), sum(x >= 0.5 for x in own), int(np.argmax(own))))
-            columns = list(zip(*found, strict=True)) if found else [[]] * 4
-            kept = [n for n in batch.schema.names if n not in added]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [pa.array(c, t) for c, t in zip(columns, [pa.float64(), *[pa.int32()] * 3], strict=True)], [*kept, *added])
-
-    rest = documents.drop(*added)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double, predicted int, n_offending int, worst_sentence int"])
-    return rest.mapInArrow(score, schema)
+
+        def answer(text: str) -> tuple:
+            own = scorer.sentence_scores(text)
+            whole = noisy_or(own)
+            return whole, int(whole >= 0.5), sum(x >= 0.5 for x in own), int(np.argmax(own))
+
+        return lambda texts: [answer(t.as_py() or "") for t in texts]
+
+    kinds = [T.DoubleType(), *[T.IntegerType()] * 3]
+    return with_answers(documents, [T.StructField(n, k) for n, k in zip(("score", "predicted", "n_offending", "worst_sentence"), kinds, strict=True)], begin)
 
 
 def training(labels: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", urls_a_sa
     """
     after = F.expr("if(instr(url, '://') > 0, substring(url, instr(url, '://') + 3), '')")
     host = F.translate(F.regexp_extract("_after", r"^([^/?#]*)", 1), _UPPER, _LOWER)
-    parts = row_ids(pages.select("page_id", F.coalesce(after, F.lit("")).alias("_after")))
+    # rows are met again by number, so that they are numbered once
+    parts = written(row_ids(pages.select("page_id", F.coalesce(after, F.lit("")).alias("_after"))))
     parts = parts.select("_row", "page_id", host.alias("host"), F.regexp_extract("_after", r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
     labels = F.split("host", r"\.")
