@@ -6,6 +6,8 @@ Offsets are the running counts of the partitions, one row each, so that no task
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +24,15 @@ def numbered(frame: DataFrame, *order: str | Column, name: str = "_at") -> DataF
     """
     if name in frame.columns:
         raise ValueError(f"there is a column {name} already")
-    spark = frame.sparkSession
     keys = [F.col(c).asc() if isinstance(c, str) else c for c in order]
-    tie, part = f"{name}_tie", f"{name}_part"
+    tie = f"{name}_tie"
     ordered = frame.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(range_partitions(frame), *keys, F.col(tie).asc()).sortWithinPartitions(*keys, F.col(tie).asc())
     table = written(ordered.drop(tie).withColumn(name, F.monotonically_increasing_id()))
-    counts = table.groupBy(F.shiftright(name, PLACE_BITS).alias(part)).agg(F.count("*").alias("n")).orderBy(part).collect()  # a row a partition
-    offsets, total = [], 0
-    for r in counts:
-        offsets.append((r[part], total))
-        total += r["n"]
-    starts = spark.createDataFrame(offsets, f"{part} long, {name}_start long")
-    place = F.col(name).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    placed = table.withColumn(part, F.shiftright(name, PLACE_BITS)).join(F.broadcast(starts), part)  # a row a partition
-    return placed.withColumn(name, F.col(f"{name}_start") + place).drop(part, f"{name}_start")
+    part = F.shiftright(name, PLACE_BITS).cast("int")
+    counts = {r["part"]: r["n"] for r in table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    sizes = [counts.get(k, 0) for k in range(max(counts, default=-1) + 1)]
+    starts = F.lit([0, *accumulate(sizes)]).cast("array<bigint>")
+    return table.withColumn(name, starts[part] + F.col(name).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
 
 
 def every(frame: DataFrame, step: int, *order: str | Column) -> DataFrame:

@@ -10,8 +10,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes that a range partition should have, and the most partitions that an estimate may ask for.
-PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 100_000
+#: Bytes that a range partition should have; an estimate beyond KNOWN_BYTES says that Catalyst doesn't know.
+PARTITION_BYTES, KNOWN_BYTES = 128 << 20, 1 << 50
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,7 +53,7 @@ def filesystem(spark: SparkSession, path: str):
 
 
 def range_partitions(frame: DataFrame) -> int:
-    """How many range partitions `frame` should have: by Catalyst's estimate of its bytes, and those of any shuffle at least."""
+    """How many range partitions `frame` should have: by Catalyst's estimate of its bytes if it has one, and those of any shuffle at least."""
     least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(MOST_PARTITIONS, size // PARTITION_BYTES))
+    return max(least, size // PARTITION_BYTES) if size <= KNOWN_BYTES else least
