@@ -34,6 +34,37 @@ def test_positions_agree_with_the_policy(spark, late):
     assert all(found[k].action == r.action and found[k].margin >= 0 for k, r in best.items())
 
 
+def test_decisions_agree_with_all_actions(spark, late):
+    model, after, table = late
+    solved = positions.Solved(spark, table)
+    mask = reference_queries.TWO_LEFT
+    states = [(mask, 0), (mask, 40), ((1 << 15) - 1, 10), ((1 << 15) - 1 - 16, 63)]
+    asked = positions.all_positions(spark, spark.createDataFrame(states, "mask int, upper int"))
+    want = {(r.mask, r.upper, r.roll_id, r.rerolls): [] for r in asked.collect() if r.mask != (1 << 15) - 1}
+    for r in positions.actions(asked, solved).collect():
+        want[r.mask, r.upper, r.roll_id, r.rerolls].append(r)
+    found = positions.decided(asked, solved).collect()
+    assert len(found) == len(want)
+    for r in found:
+        own = sorted(want[r.mask, r.upper, r.roll_id, r.rerolls], key=lambda a: (-a.value, a.action))
+        assert (r.action, r["size"], r.value, r.lower, r.upper_bound, r.actions) == (own[0].action, own[0]["size"], own[0].value, own[0].lower, own[0].upper_bound, len(own))
+        assert (r.second, r.second_lower, r.second_upper) == ((own[1].value, own[1].lower, own[1].upper_bound) if len(own) > 1 else (None,) * 3)
+        assert r.score_value == max(a.value for a in own if a.action < positions.KEEP)
+        assert r.reroll_value == max((a.value for a in own if a.action >= positions.KEEP), default=None)
+
+
+def test_even_states_are_those_of_a_plain_list(spark):
+    layers = {}
+    for r in st.states(spark).filter("layer < 15").select("layer", "state_index").collect():
+        layers.setdefault(r.layer, []).append(r.state_index)
+    want = set()
+    for layer, indexes in layers.items():
+        indexes.sort()
+        picked = indexes if len(indexes) <= 32 else [indexes[i * (len(indexes) - 1) // 31] for i in range(32)]
+        want |= {(layer, i, len(indexes) / len(picked)) for i in picked}
+    assert {(r.layer, r.state_index, r.weight) for r in positions.even_states(st.states(spark)).collect()} == want
+
+
 def test_even_states(spark):
     chosen = positions.even_states(st.states(spark))
     assert chosen.count() == 449 and chosen.groupBy("layer").agg(F.sum("weight").alias("w")).filter("w < 1").count() == 0

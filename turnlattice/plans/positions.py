@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlattice.operators import universe
+from turnlattice.operators.selection import even_sample
 from turnlattice.plans import kernel
 
 SCHEMA = "mask int, upper int, roll_id int, rerolls int, action int, size int, value double, lower double, upper_bound double"
@@ -95,13 +96,82 @@ def margins(rows: DataFrame) -> DataFrame:
     return top.select("mask", "upper", "roll_id", "rerolls", (-F.col("b.a")).alias("action"), "b.size", "b.value", (F.col("b.value") - second["value"]).alias("margin"), (F.col("b.lower") > second["upper_bound"]).alias("parted"), "actions")
 
 
+class _Best:
+    """For one state and number of rerolls, by roll: what `decided` tells."""
+
+    def __init__(self, t: kernel.Tables, tables: list[np.ndarray], mask: int, upper: int, padded: np.ndarray) -> None:
+        opened, score, kept = _state(t, tables, mask, upper)
+        self.by_rerolls = []
+        rows = np.arange(252)
+        for rerolls in range(3):
+            ids = np.repeat(np.array([opened], np.int32), 252, axis=0)
+            sizes, values = np.full(ids.shape, -1, np.int32), score.transpose(0, 2, 1)
+            if rerolls and opened:
+                legal = padded >= 0
+                ids, sizes = np.concatenate([ids, KEEP + padded], axis=1), np.concatenate([sizes, t.sizes[padded]], axis=1)
+                values = np.concatenate([values, np.where(legal, kept[rerolls - 1][:, padded], -np.inf)], axis=2)
+            middle = values[0].copy()
+            first = middle.argmax(axis=1)  # of equal values the lower action
+            told = [ids[rows, first], sizes[rows, first], *values[:, rows, first]]
+            middle[rows, first] = -np.inf
+            second = middle.argmax(axis=1)
+            other = np.where(np.isfinite(middle[rows, second]), values[:, rows, second], np.nan)
+            n = len(opened)
+            again = values[0][:, n:].max(axis=1) if rerolls else np.full(252, np.nan)
+            self.by_rerolls.append([*told, *other, values[0][:, :n].max(axis=1), again, np.isfinite(values[0]).sum(axis=1).astype(np.int32)])
+
+
+DECIDED = "mask int, upper int, roll_id int, rerolls int, action int, size int, value double, lower double, upper_bound double, second double, second_lower double, second_upper double, score_value double, reroll_value double, actions int"
+
+
+def decided(positions: DataFrame, solved: Solved) -> DataFrame:
+    """One row for each position (mask, upper, roll_id, rerolls) of a game that goes on, by DECIDED.
+
+    The best action with value and bounds, those of the second (null if there is none), the best values of scoring and of
+    keeping (null without rerolls) and the number of actions. A task answers whole positions: nothing is shuffled.
+    """
+    shared = solved.shared
+    names = [c.split(" ")[0] for c in DECIDED.split(", ")]
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, tables = shared.value
+        padded = np.full((252, max(map(len, t.legal))), -1, np.int32)
+        for roll, own in enumerate(t.legal):
+            padded[roll, : len(own)] = own
+        memo: dict = {}
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in names[:4]], axis=1)
+            keys = keys[keys[:, 0] != (1 << 15) - 1]
+            parts = []
+            order = np.lexsort(keys.T[[3, 1, 0]])
+            keys = keys[order]
+            edges = [0, *(np.flatnonzero((np.diff(keys[:, [0, 1, 3]], axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                mask, upper, _, rerolls = map(int, keys[a])
+                if (mask, upper) not in memo:
+                    if len(memo) > 2000:
+                        memo.clear()
+                    memo[mask, upper] = _Best(t, tables, mask, upper, padded)
+                parts.append([c[keys[a:b, 2]] for c in memo[mask, upper].by_rerolls[rerolls]])
+            told = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(11)]
+            columns = [pa.array(keys[:, i], pa.int32()) for i in range(4)]
+            columns += [pa.array(c, pa.int32() if i in (0, 1, 10) else pa.float64(), from_pandas=True) for i, c in enumerate(told)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return positions.select(*[F.col(c).cast("int").alias(c) for c in names[:4]]).mapInArrow(answered, DECIDED)
+
+
 def even_states(states: DataFrame, n: int = 32) -> DataFrame:
-    """At most `n` evenly spaced states (mask, upper, layer) of each layer below the last, with the layer's states that each stands for."""
-    order = Window.partitionBy("layer").orderBy("mask", "upper")
-    placed = states.filter("layer < 15").withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy("layer"))})
-    share = F.least(F.lit(n), F.col("_n"))
-    chosen = placed.filter((F.col("_at") == 0) | (F.floor(F.col("_at") * share / F.col("_n")) > F.floor((F.col("_at") - 1) * share / F.col("_n"))))
-    return chosen.select("mask", "upper", "layer", (F.col("_n") / share).alias("weight"))
+    """At most `n` evenly spaced states (mask, upper, layer) of each layer below the last, with the states that each stands for.
+
+    In order of state_index, the places floor(i (len - 1) / (n - 1)): the first and the last state of a layer are always in.
+    """
+    below = states.filter("layer < 15").select("mask", "upper", "layer", "state_index")
+    sizes = below.groupBy("layer").agg(F.count("*").alias("_n"))  # fifteen rows
+    chosen = even_sample(below, "state_index", n, "layer").join(F.broadcast(sizes), "layer")
+    return chosen.select("mask", "upper", "layer", "state_index", (F.col("_n") / F.least(F.lit(n), F.col("_n"))).alias("weight"))
 
 
 def all_positions(spark: SparkSession, states: DataFrame) -> DataFrame:

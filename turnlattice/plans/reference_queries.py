@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlattice.functions import counters as rng
+from turnlattice.functions import dice
 from turnlattice.operators import states as st
 from turnlattice.operators import universe
+from turnlattice.operators.actions import tie_class
 from turnlattice.plans import kernel, play, positions
 from turnlattice.plans.model_queries import TWO_LEFT, longs
 from turnlattice.plans.solve import solve
@@ -175,27 +177,46 @@ def verify_run(spark, sf_dir):
     return row.select(F.explode(checks).alias("c")).select("c.id", "c.passed")
 
 
-def _even(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """At most 32 evenly spaced states of each layer (339,444 positions), and the margins of all of them."""
+def _even(spark: SparkSession) -> DataFrame:
+    """The decisions at all positions (339,444) of at most 32 evenly spaced states a layer, with what the reports group by."""
     chosen = positions.even_states(st.states(spark))
-    asked = positions.all_positions(spark, chosen).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mask", "upper")
-    return chosen, positions.margins(positions.actions(asked, positions.Solved(spark, solve(spark)))).join(universe.wide_scores(spark).select("roll_id", "multiplicity"), "roll_id")
+    asked = positions.all_positions(spark, chosen.select("mask", "upper")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mask", "upper")
+    rolls = universe.wide_scores(spark).select("roll_id", "multiplicity", dice.pattern().alias("pattern"))
+    # 252 rows, and 32 a layer
+    found = positions.decided(asked, positions.Solved(spark, solve(spark))).join(F.broadcast(rolls), "roll_id").join(F.broadcast(chosen), ["mask", "upper"])
+    kind = tie_class(F.col("actions"), (F.col("value"), F.col("lower"), F.col("upper_bound")), (F.col("second"), F.col("second_lower"), F.col("second_upper")))
+    margin = F.coalesce(F.col("value") - F.col("second"), F.lit(0.0))
+    return found.withColumns({"margin": margin, "advantage": F.col("reroll_value") - F.col("score_value"), "tie_class": kind, "distance": F.greatest(F.lit(0), 63 - F.col("upper")), "population": F.col("weight") * F.col("multiplicity")})
+
+
+def _strata(rows: DataFrame, *by: str) -> DataFrame:
+    w, a = F.col("population"), F.col("advantage")
+    known = F.sum(F.when(a.isNotNull(), w))
+    return longs(rows.groupBy(*by).agg(F.count("*").alias("positions"), F.round(F.sum(w), 6).alias("weight"), F.round(F.sum(w * F.col("margin")) / F.sum(w), 6).alias("margin"), F.round(F.sum(w * a) / F.nullif(known, F.lit(0.0)), 6).alias("advantage")))
 
 
 @query
 def structural_strata_all(spark, sf_dir):
-    """Positions, weight, margin and share parted by bounds, by layer, rerolls and size of the best keeper (-1: scoring), over all layers."""
-    chosen, found = _even(spark)
-    rows = found.join(chosen, ["mask", "upper"])
-    weight = F.col("weight") * F.col("multiplicity") / 7776
-    return longs(rows.groupBy("layer", "rerolls", "size").agg(F.count("*").alias("positions"), F.round(F.sum(weight), 6).alias("weight"), F.round(F.sum(weight * F.coalesce("margin", F.lit(0.0))) / F.sum(weight), 6).alias("margin"), F.round(F.avg(F.coalesce("parted", F.lit(True)).cast("int")), 6).alias("parted")))
+    """Weighted population, margin and advantage of a reroll of each evenly spaced state of all layers, by rerolls left."""
+    return _strata(_even(spark), "layer", "state_index", "mask", "upper", "rerolls")
+
+
+@query
+def pattern_strata_all(spark, sf_dir):
+    """The same by layer, rerolls, distance to the bonus, pattern of the dice and size of the best keeper (-1: scoring)."""
+    return _strata(_even(spark), "layer", "rerolls", "distance", "pattern", "size")
+
+
+@query
+def tie_classes_all(spark, sf_dir):
+    """How the bounds part the two best actions of those positions, by layer."""
+    return longs(_even(spark).groupBy("layer", "tie_class").agg(F.count("*").alias("positions")))
 
 
 @query
 def decision_atlas_all(spark, sf_dir):
-    """The best action of every position of the evenly spaced states of all layers, with its value and margin."""
-    chosen, found = _even(spark)
-    return longs(found.join(chosen, ["mask", "upper"]).select("layer", "mask", "upper", "roll_id", "rerolls", "action", "size", "actions", F.round("value", 6).alias("value"), F.round("margin", 6).alias("margin"), "multiplicity"))
+    """The best action of every position of the evenly spaced states of all layers, with its value, margin and class."""
+    return longs(_even(spark).select("layer", "state_index", "mask", "upper", "distance", "roll_id", "pattern", "rerolls", "action", "size", "actions", F.round("value", 6).alias("value"), F.round("margin", 6).alias("margin"), F.round("advantage", 6).alias("advantage"), "tie_class", "multiplicity"))
 
 
 def audited(spark: SparkSession, table: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +17,11 @@ from turnlattice.operators import states as state_rules
 from turnlattice.operators import universe
 from turnlattice.operators.states import states
 from turnlattice.plans import kernel
+from turnlattice.sources.shared import shared_folder
 
 SCHEMA = "state_index int, mask int, upper int, layer int, value double, lower double, upper_bound double"
 
 
-def _folder(spark: SparkSession) -> str:
-    configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{configured or tempfile.mkdtemp()}/solve"
-
-
 def _version(single_pair: bool, policy: bool) -> str:
     """A digest of the rules and of the code that computes the tables: tables of other rules or code are not taken up again."""
     parts = [inspect.getsource(m) for m in (kernel, universe, dice, state_rules)] + [SCHEMA, str(single_pair), str(policy)]
@@ -39,7 +35,7 @@ def solve(spark: SparkSession, path: str | None = None, single_pair: bool = Fals
     broadcast of 16 MiB, which is fixed by the model. `policy` adds a column of 756 action codes a state, which stays in the
     tables and never goes to the driver.
     """
-    path = f"{path or _folder(spark)}/{'pair' if single_pair else 'plain'}{'-policy' if policy else ''}-{_version(single_pair, policy)}"
+    path = f"{path or f'{shared_folder(spark)}/solve'}/{'pair' if single_pair else 'plain'}{'-policy' if policy else ''}-{_version(single_pair, policy)}"
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(hadoop)
@@ -47,7 +43,7 @@ def solve(spark: SparkSession, path: str | None = None, single_pair: bool = Fals
     schema = SCHEMA + (", policy binary" if policy else "")
     if len(done) < 16:
         model = spark.sparkContext.broadcast(kernel.tables(spark, single_pair))
-        index = f"{path}-index"
+        index = f"{path}-index-{uuid.uuid4().hex}"  # one of its own, as sessions may solve at the same time
         states(spark).repartition(8, "layer").write.mode("overwrite").partitionBy("layer").parquet(index)
         following = None
         for layer in range(15, -1, -1):
@@ -67,5 +63,6 @@ def solve(spark: SparkSession, path: str | None = None, single_pair: bool = Fals
                 rows.repartition(64 if 3 <= layer <= 13 else 4, "mask").mapInArrow(backed, schema).write.mode("overwrite").parquet(f"{path}/layer={layer}")
             solved = spark.read.parquet(f"{path}/layer={layer}").select("mask", "upper", "value").toPandas()
             following = kernel.dense(solved, "value")
+        files.delete(jvm.org.apache.hadoop.fs.Path(index), True)
     tables = [f"{path}/layer={n}" for n in range(16)]
     return spark.read.schema(schema).parquet(*tables)
