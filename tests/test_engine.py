@@ -122,9 +122,8 @@ def test_reports_and_ledger(spark, tmp_path):
 def test_stream_folds_batches(spark, tmp_path):
     for part in range(2):
         spark.createDataFrame([("r", part * 10 + i, 100 + i, i % 2) for i in range(10)], batches.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
-        batches.fold(spark, str(tmp_path / "in"), str(tmp_path / "mark"), f"folded{part}").awaitTermination()
-    row = spark.table("folded1").first()
-    assert (row.n, row["sum"], row.bonus_count) == (20, 2 * sum(range(100, 110)), 10)
+        row = batches.games(spark, str(tmp_path / "in"), str(tmp_path / "fold")).first()
+    assert (row.n, row.sum_x, row.sum_bonus) == (20, 2 * sum(range(100, 110)), 10)
 
 
 def test_entry(spark):
