@@ -10,9 +10,11 @@ from turnlattice.functions import canonical, intervals
 from turnlattice.operators import checks, digests, selection
 from turnlattice.operators.quantiles import exact_quantiles
 from turnlattice.operators.statistics import QUANTILES
+from turnlattice.plans import runs
 from turnlattice.plans.table_queries import table
-from turnlattice.sources import records
+from turnlattice.sources import formats, records
 from turnlattice.sources.shared import fresh_path, written
+from turnlattice.streaming import batches
 
 QUERIES, SQL = {}, {}
 
@@ -210,3 +212,51 @@ def interval_totals(spark, sf_dir):
     found = intervals.interval_sum(rows, "i", "l_returnflag").join(F.broadcast(exact), "l_returnflag")  # a row a flag
     near = F.col("n") * 2.0**-30  # a price's double is that near to its decimals
     return found.select("l_returnflag", "n", ((F.col("low") - near <= F.col("exact").cast("double")) & (F.col("exact").cast("double") <= F.col("high") + near)).alias("contained"), (F.col("high") - F.col("low") < F.col("high") * 1e-9).alias("narrow"))
+
+
+# batches, exports and runs
+
+_EVENT_SUMS = "count(cents) AS n, sum(cents)::BIGINT AS sum_cents, sum(cents * cents)::BIGINT AS sum_sq, min(cents) AS min_cents, max(cents) AS max_cents"
+
+
+@query(f"SELECT event_type, {_EVENT_SUMS} FROM (SELECT event_type, round(value * 100)::BIGINT AS cents FROM events) GROUP BY 1")
+def events_folded(spark, sf_dir):
+    """All events, dealt to files that arrive in three goes and are folded batch by batch, each once: as one aggregation of all."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    path = fresh_path(spark)
+    x = F.col("cents")
+    sums = {"n": F.count(x), "sum_cents": F.sum(x), "sum_sq": F.sum(x * x), "min_cents": F.min(x), "max_cents": F.max(x)}
+    for go in range(3):
+        rows.filter(F.pmod("event_id", F.lit(3)) == go).write.mode("append").parquet(f"{path}/in")
+        fold = batches.fold_files(spark, f"{path}/in", rows.schema, f"{path}/fold", ["event_type"], sums, 2)
+    return fold.result().select("event_type", "n", "sum_cents", "sum_sq", "min_cents", "max_cents")
+
+
+@query("""SELECT c_nationkey, count(*) AS customers, sum(orders)::BIGINT AS orders, sum(cents)::BIGINT AS cents FROM
+(SELECT o_custkey, count(*) AS orders, sum(round(o_totalprice * 100)::BIGINT) AS cents FROM orders GROUP BY 1 HAVING count(*) >= 2) JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def staged_orders(spark, sf_dir):
+    """A run in four stages that is lost after each of them and taken up again."""
+    path, stages = fresh_path(spark), runs.order_stages(sf_dir)
+    for s in runs.ordered(stages):
+        runs.Run(spark, path, stages, runs.ORDER_BOUNDS).run(stop_after=s.name)
+    return runs.Run(spark, path, stages, runs.ORDER_BOUNDS).run()
+
+
+@query("""SELECT format, fault, count(*) AS n FROM (
+  SELECT 'csv' AS format, 'columns' AS fault FROM orders WHERE o_orderkey % 997 = 5 UNION ALL
+  SELECT 'csv', 'quotes' FROM orders WHERE o_orderkey % 1009 = 7 AND o_orderkey % 997 <> 5 UNION ALL
+  SELECT 'jsonl', 'not JSON' FROM orders WHERE o_orderkey % 991 = 3) GROUP BY ALL""")
+def export_faults(spark, sf_dir):
+    """Orders exported as CSV and JSON lines, with lines spoilt by key, and what one scan of the files finds: counted by kind."""
+    rows, path = table(spark, sf_dir, "orders"), fresh_path(spark)
+    k, text = F.col("o_orderkey"), F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderpriority")
+    text = F.when(k % 997 == 5, F.concat(text, F.lit(",more"))).when(k % 1009 == 7, F.concat(text, F.lit('"x,"'))).otherwise(text)
+    header = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first line of each file
+    lines = rows.select(F.explode(F.when(header, F.array(F.lit("key,customer,priority"), text)).otherwise(F.array(text))).alias("value"))
+    lines.write.text(f"{path}/csv")
+    shown = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderpriority"))
+    rows.select(F.when(k % 991 == 3, F.substring(shown, F.lit(1), F.length(shown) - 1)).otherwise(shown).alias("value")).write.text(f"{path}/jsonl")
+    files = formats.listed(spark, f"{path}/csv", {".txt": "csv"}).unionByName(formats.listed(spark, f"{path}/jsonl", {".txt": "jsonl"}))
+    found = formats.audited(spark, files)
+    kind = F.when(F.col("file").contains("/csv/"), "csv").otherwise("jsonl")
+    return found.groupBy(kind.alias("format"), "fault").agg(F.count("*").alias("n"))
