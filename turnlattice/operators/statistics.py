@@ -97,6 +97,13 @@ def paired(frame: DataFrame, difference: str) -> DataFrame:
     return out.withColumn("median", median).withColumn("se", se).withColumn("ci95_low", F.col("mean") - Z95 * se).withColumn("ci95_high", F.col("mean") + Z95 * se)
 
 
+def visit_groups(visits: DataFrame) -> DataFrame:
+    """Visits (turn, rerolls, mask, upper, pattern, size, margin, advantage) by turn, rerolls, categories used, distance to the
+    bonus, pattern and keeper size: n, the mean margin, and the mean advantage over the visits that have one (null if none has)."""
+    keys = [F.col("turn"), F.col("rerolls"), F.bit_count("mask").alias("used"), F.greatest(F.lit(0), 63 - F.col("upper")).alias("distance"), F.col("pattern"), F.col("size")]
+    return visits.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("margin").alias("mean_margin"), F.avg("advantage").alias("mean_advantage"))
+
+
 def latest(frame: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by `order`: aggregated, so that a key with many rows is no window of its own."""
     rest = [c for c in frame.columns if c != key]
