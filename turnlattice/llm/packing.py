@@ -14,7 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,17 @@ class ByteEncoder(dict):
         ranks = {bytes(octet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.words = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.words._core_bpe.encode_single_piece
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizers library, some 50 MB, loaded for the first text that needs it."""
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def __missing__(self, word: str) -> bytes:
         if word[1:].isalpha() and word[0] == " ":  # one piece
             found = array("I", self.piece(word.encode())).tobytes()
