@@ -90,6 +90,13 @@ def test_gate_fails_on_a_violation(spark):
         checks.gate(checks.violations(nested(spark), ["id"]), ["id"]).collect()
 
 
+def test_manifests(spark):
+    good = ("a", "solve", "abc", "1", True, "COMPLETE", 1.0, 1.0, 1.0, 0.0, ["in/x"], ["out"], {"rules": "0" * 64})
+    bad = [("b", "", "abc", "1", True, "FAILED", -1.0, float("inf"), 1.0, 0.0, [], ["/abs", "a/../b"], {"rules": "x"}), ("c", "k", None, "1", False, "FAILED", 1.0, 1.0, 1.0, 0.0, ["i"], ["o"], {}), ("c", *good[1:])]
+    found = sorted(map(tuple, checks.manifest_violations(spark.createDataFrame([good, *bad], checks.EXPERIMENT)).collect()))
+    assert found == sorted([("b", "$", "incomplete"), ("b", "$.kind", "empty"), ("b", "$.game_count", "negative"), ("b", "$.workers", "not_finite"), ("b", "$.inputs", "empty"), ("b", "$.outputs[0]", "relative_path"), ("b", "$.outputs[1]", "relative_path"), ("b", "$.hashes.rules", "hash"), ("c", "$.source_commit", "null"), ("c", "$.id", "repeated")])
+
+
 # canonical JSON
 
 

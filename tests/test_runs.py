@@ -101,3 +101,23 @@ def test_digest_of_any_table(spark):
     assert runs.table_digest(frame) == runs.table_digest(frame.repartition(7).orderBy(F.desc("id")))
     assert runs.table_digest(frame) != runs.table_digest(frame.unionByName(frame.limit(1)))
     assert runs.table_digest(frame.limit(0))[0] == 0
+
+
+def test_profiles():
+    assert runs.profile("official")["games_per_run"] == 1_000_000 and runs.profile("smoke", paired_games=20)["paired_games"] == 20
+    for bad in (lambda: runs.profile("official", rebuild=False), lambda: runs.profile("other"), lambda: runs.profile("smoke", games_per_run=10)):
+        with pytest.raises(ValueError):
+            bad()
+    assert len({runs.settings_hash(runs.profile(p)) for p in runs.PROFILES}) == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from turnlattice.__main__ import main
+
+    assert main([]) == 2
+    spark.createDataFrame([(1, 5.0), (1, 2.5)], "o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "d/orders.parquet"))
+    assert main(["preflight", str(tmp_path / "d")]) == 1
+    spark.createDataFrame([(1, 7)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "d/customer.parquet"))
+    assert main(["preflight", str(tmp_path / "d")]) == 0
+    assert main(["run", str(tmp_path / "d"), str(tmp_path / "r")]) == 0 and "COMPLETE" in capsys.readouterr().out
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "r/out/report")).collect()] == [(7, 1, 2, 750)]

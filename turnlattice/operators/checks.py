@@ -84,6 +84,24 @@ def violations(frame: DataFrame, key: list[str], rules: dict[str, list[Rule]] |
     return frame.select(*key, F.explode(found).alias("_v")).select(*key, "_v.path", "_v.rule")
 
 
+EXPERIMENT = "id string, kind string, source_commit string, seed string, required boolean, status string, game_count double, workers double, batches double, duration_ms double, inputs array<string>, outputs array<string>, hashes map<string, string>"
+#: What holds for a row of a manifest of experiments, besides that nothing is null.
+EXPERIMENT_RULES: dict[str, list[Rule]] = {
+    "$": [("incomplete", lambda x: x["required"] & (x["status"] != "COMPLETE"))],
+    **{f"$.{c}": [not_empty()] for c in ("kind", "source_commit", "seed")},
+    **{f"$.{c}": [not_negative()] for c in ("game_count", "workers", "batches", "duration_ms")},
+    **{f"$.{c}": [has_items()] for c in ("inputs", "outputs")},
+    **{f"$.{c}[]": [is_relative()] for c in ("inputs", "outputs")},
+    "$.hashes{}": [is_hash()],
+}
+
+
+def manifest_violations(experiments: DataFrame) -> DataFrame:
+    """id, path and rule of what is wrong in a manifest (a table by EXPERIMENT), repeated ids included."""
+    twice = experiments.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("$.id").alias("path"), F.lit("repeated").alias("rule"))
+    return violations(experiments, ["id"], EXPERIMENT_RULES).unionByName(twice)
+
+
 def patterns(kind: T.DataType, at: str = "$") -> list[str]:
     """All places of a schema."""
     out = [at]

@@ -16,14 +16,16 @@ THRESHOLDS = [150, 175, 200, 225, 250, 275, 300, 325, 350]
 MARGIN_EDGES = [0, 1e-12, 1e-8, 1e-6, 1e-4, 1e-3, 1e-2, 0.05, 0.1, 0.5, 1, 2, 5, 10]
 
 
-def moments(frame: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, sum, sum_sq, min, max of a whole-number column."""
+def moments(frame: DataFrame, value: str, *by: str, wide: bool = False) -> DataFrame:
+    """n, sum, sum_sq, min, max of a whole-number column; `wide`: sums have 38 digits, for numbers whose squares leave 64 bits."""
     x = F.col(value).cast("long")
-    return frame.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("sum"), F.sum(x * x).alias("sum_sq"), F.min(x).alias("min"), F.max(x).alias("max"))
+    y = x.cast("decimal(18,0)") if wide else x
+    return frame.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).alias("sum"), F.sum(y * y).alias("sum_sq"), F.min(x).alias("min"), F.max(x).alias("max"))
 
 
 def spread(frame: DataFrame) -> DataFrame:
     """Adds mean, sd, se and the normal intervals ci95 and ci99 to moments (n, sum, sum_sq)."""
+    frame = frame.withColumns({c: F.col(c).cast("double") for c, t in frame.dtypes if c in ("sum", "sum_sq") and t.startswith("decimal")})
     mean = F.col("sum") / F.col("n")
     sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("sum_sq") - F.col("sum") * F.col("sum") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))))).otherwise(0.0)
     frame = frame.withColumn("mean", mean).withColumn("sd", sd).withColumn("se", F.col("sd") / F.sqrt("n"))

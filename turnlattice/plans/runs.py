@@ -213,7 +213,29 @@ def preflight(spark: SparkSession, sf_dir: str, tables: dict[str, list[str]]) ->
 
 # a run over the driver's tables
 
-ORDER_BOUNDS = {"least_orders": Bound(2, 1, 1000), "top": Bound(500, 1, 100_000)}
+ORDER_BOUNDS = {"least_orders": Bound(2, 1, 1000)}
+#: Settings of the research run: games and states that a profile asks for, and what it may ask for at most.
+RESEARCH_BOUNDS = {
+    "optimal_runs": Bound(10, 1, 10),
+    "games_per_run": Bound(1_000_000, 1_000, 1_000_000),
+    "pilot_games": Bound(50_000, 1_000, 500_000),
+    "paired_games": Bound(500, 1, 100_000),
+    "visit_games": Bound(200, 1, 100_000),
+    "states_per_layer": Bound(32, 2, 1_000),
+    "rebuild": Bound(True),
+}
+PROFILES = {
+    "smoke": {"optimal_runs": 1, "games_per_run": 1_000, "pilot_games": 1_000, "paired_games": 10, "visit_games": 10, "states_per_layer": 2, "rebuild": False},
+    "reduced": {"optimal_runs": 2, "games_per_run": 1_000, "pilot_games": 1_000, "states_per_layer": 8},
+    "official": {},
+}
+
+
+def profile(name: str, **given) -> dict:
+    """The settings of a profile, with those that are `given`; the official one takes none."""
+    if name not in PROFILES or (name == "official" and given):
+        raise ValueError("smoke or reduced with settings, or official as it is")
+    return resolved(PROFILES[name] | given, RESEARCH_BOUNDS)
 
 
 def order_stages(sf_dir: str) -> list[Stage]:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlattice.functions import canonical
 from turnlattice.functions import counters as rng
 from turnlattice.functions import dice
 from turnlattice.functions.dice import COUNTS
@@ -457,6 +458,16 @@ def paired_join(spark, sf_dir):
     return games(spark, sf_dir).join(other, "game_index").groupBy("run_id").agg(F.count("*").alias("pairs"), F.sum("final_score").alias("first_total"), F.sum("_other").alias("second_total"))
 
 
+@query(f"""{W}, t AS (SELECT game_index, string_agg('{{"category":' || category || ',"points":' || points || ',"turn":' || turn || '}}', ',' ORDER BY turn) AS turns FROM turns WHERE game_index % 1000 = 0 GROUP BY 1)
+SELECT game_index, '{{"final_score":' || final_score || ',"game_index":' || game_index || ',"policy":"' || policy || '","trace":[' || turns || ']}}' AS line FROM t JOIN games USING (game_index)""")
+def game_traces(spark, sf_dir):
+    """Every 1000th game as a line of JSON with its turns; the sample is the operator. `reports.write_lines` writes such lines."""
+    turn = F.struct("category", "points", "turn")
+    traced = turns(spark, sf_dir).filter("game_index % 1000 = 0").groupBy("game_index").agg(F.array_sort(F.collect_list(turn), lambda a, b: a["turn"] - b["turn"]).alias("trace"))  # fifteen turns
+    rows = games(spark, sf_dir).filter("game_index % 1000 = 0").join(traced, "game_index").select("final_score", "game_index", "policy", "trace")
+    return rows.select("game_index", canonical.row_json(rows).alias("line"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def missing_artifacts(spark, sf_dir):
     """What is required but not there: customers without an order."""
@@ -489,3 +500,51 @@ def simulation_plan(spark, sf_dir):
     optimal = spark.range(1, 11).select(F.concat(F.lit("optimal_"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("id"), F.lit("optimal").alias("policy"), F.col("id").alias("run"))
     others = spark.createDataFrame([(f"comparison_{p}", p, 1) for p in ("one_turn", "greedy", "bonus_priority", "fixed_priority", "random")], "id string, policy string, run long")
     return optimal.unionByName(others).withColumn("games", F.lit(1_000_000).cast("long"))
+
+
+# the same statistics on the tables' own numbers
+
+_CENTS = "SELECT o_orderstatus, o_orderpriority, round(o_totalprice * 100)::BIGINT AS cents FROM orders"
+
+
+@query(f"""WITH m AS (SELECT o_orderstatus, count(*) AS n, sum(cents::DOUBLE) AS sum, sum(cents::DOUBLE * cents) AS sum_sq, min(cents) AS min, max(cents) AS max FROM ({_CENTS}) GROUP BY 1), s AS (SELECT *, sum / n AS mean, {_SD} AS sd FROM m)
+SELECT o_orderstatus, n, min, max, round(mean / 100, 2) AS mean, round(sd / 100, 2) AS sd, round((mean - {stat.Z99} * sd / sqrt(n)) / 100, 2) AS ci99_low, round((mean + {stat.Z99} * sd / sqrt(n)) / 100, 2) AS ci99_high FROM s""")
+def order_stats(spark, sf_dir):
+    """Mean, deviation and interval of order totals by status."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    found = stat.spread(stat.moments(table(spark, sf_dir, "orders").select("o_orderstatus", cents.alias("cents")), "cents", "o_orderstatus", wide=True))
+    return found.select("o_orderstatus", "n", "min", "max", *[F.round(F.col(c) / 100, 2).alias(c) for c in ("mean", "sd", "ci99_low", "ci99_high")])
+
+
+@query(f"WITH s AS (SELECT l_returnflag, l_quantity::BIGINT AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, q.q, x AS value FROM s, (SELECT unnest({stat.QUANTILES}::DOUBLE[]) AS q) q WHERE i = floor(q.q * (n - 1))::BIGINT")
+def quantity_quantiles(spark, sf_dir):
+    """Order statistics of the lines' quantities by flag, from a histogram."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_quantity").cast("long").alias("value")).agg(F.count("*").alias("count"))
+    return longs(stat.quantiles(counts, "l_returnflag"))
+
+
+@query("""WITH h AS (SELECT v.i AS value, count(l_quantity) AS count FROM range(1, 51) v(i) LEFT JOIN lineitem ON l_quantity = v.i GROUP BY 1)
+SELECT value, count, round(count / sum(count) OVER (), 6) AS probability, round(sum(count) OVER (ORDER BY value) / sum(count) OVER (), 6) AS cumulative, round(sum(count) OVER (ORDER BY value DESC) / sum(count) OVER (), 6) AS tail FROM h""")
+def quantity_distribution(spark, sf_dir):
+    return rounded(stat.distribution(stat.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 1, 50)))
+
+
+@query("SELECT l_linestatus, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem GROUP BY 1")
+def price_correlation(spark, sf_dir):
+    """How prices go with quantities, by line status."""
+    return rounded(stat.pearson(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_linestatus"))
+
+
+@query(f"SELECT t.t AS threshold, count(*) FILTER (WHERE value >= t.t) AS count, round(count(*) FILTER (WHERE value >= t.t) / count(*), 6) AS probability FROM (SELECT floor(o_totalprice / 1000)::BIGINT AS value FROM orders), (SELECT unnest({stat.THRESHOLDS}::BIGINT[]) AS t) t GROUP BY 1")
+def total_thresholds(spark, sf_dir):
+    """How many orders reach each total, in thousands."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_totalprice") / 1000).alias("value")).agg(F.count("*").alias("count"))
+    return rounded(stat.thresholds(counts))
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS run, sum(round(o_totalprice * 100)::BIGINT) AS s, count(*) AS n FROM orders GROUP BY 1) SELECT run, round(sum(s) OVER w / sum(n) OVER w / 100, 2) AS mean_so_far, (sum(n) OVER w)::BIGINT AS orders FROM m WINDOW w AS (ORDER BY run)""")
+def order_convergence(spark, sf_dir):
+    """The running mean of totals, priority by priority."""
+    order = Window.orderBy("run")  # a row a priority
+    parts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("s"), F.count("*").alias("n"))
+    return parts.select("run", F.round(F.sum("s").over(order) / F.sum("n").over(order) / 100, 2).alias("mean_so_far"), F.sum("n").over(order).alias("orders"))
