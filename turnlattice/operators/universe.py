@@ -14,11 +14,14 @@ FIRST_ROLL = 210
 
 
 def keepers(spark: SparkSession) -> DataFrame:
-    """All 462 multisets of up to five dice: keeper_id (by size, then counts), n1 .. n6, size."""
-    face = spark.range(6)
-    grid = reduce(lambda a, b: a.crossJoin(b), [face.select(F.col("id").cast("int").alias(c)) for c in COUNTS])
-    size = sum((F.col(c) for c in COUNTS[1:]), F.col("n1"))
-    sized = grid.withColumn("size", size).filter("size <= 5")
+    """All 462 multisets of up to five dice: keeper_id (by size, then counts), n1 .. n6, size.
+
+    Counts are unfolded from one row, each as far as five dice go, so that one task makes them all and nothing is shuffled.
+    """
+    grid, left = spark.range(0, 1, 1, 1).select(F.lit(5).alias("left")), F.col("left")
+    for i, c in enumerate(COUNTS):
+        grid = grid.select(*COUNTS[:i], "left", F.explode(F.sequence(F.lit(0), left)).alias(c)).select(*COUNTS[: i + 1], (left - F.col(c)).alias("left"))
+    sized = grid.select(*COUNTS, (F.lit(5) - left).alias("size"))
     return sized.withColumn("keeper_id", F.row_number().over(Window.orderBy("size", *COUNTS)) - 1)
 
 
