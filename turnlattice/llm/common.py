@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -69,7 +70,8 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     bound_batches(spark)
     path = f"{shared_folder(spark)}/turnlattice-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with _whole_partitions(spark):
+        frame.write.parquet(path)
     if (own := _OWN.get()) is not None:
         own.append(path)
     atexit.register(_remove, weakref.ref(spark), path)
@@ -78,6 +80,19 @@ def written(frame: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def _whole_partitions(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark put small shuffle partitions together up to the advisory size, rather than keep one for each core: many of the
+    tables written on the way are small, and each part is a task and two files."""
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `written` has returned and nothing reads any more."""
     for table in tables:
