@@ -97,6 +97,10 @@ def bit_groups(nodes: DataFrame, parts: int = PARTS) -> list[list[int]]:
     return groups
 
 
+#: Links of a part of a table of links.
+EDGES = 500_000
+
+
 def _masks(bits: list[int], radius: int) -> list[int]:
     """Every difference of exactly `radius` of these bits, as a signed 64-bit integer."""
     masks = [sum(1 << b for b in chosen) for chosen in combinations(bits, radius)]
@@ -183,7 +187,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(now)
     while True:
-        following = written(star(star(now, True), False))
+        # parts by the number of links, so that rounds over few links are few tasks
+        following = written(star(star(now, True), False).coalesce(1 + before[0] // EDGES))
         forget(now)
         now, after = following, state(following)
         if after == before:
