@@ -22,7 +22,10 @@ def _inside(x: Column, bracket: dict) -> Column:
 
 
 def order_statistics(frame: DataFrame, value: str, ranks: list[int], left: int = LEFT) -> list:
-    """The values at `ranks` (from 0) of the non-null numbers in `value`, in order; NaN comes last, as Spark sorts."""
+    """The values at `ranks` (from 0) of the non-null numbers in `value`, in order; NaN comes last, as Spark sorts.
+
+    `frame` is read once to begin with and twice a round, so that what is dear to compute should be written before.
+    """
     rows = frame.select(F.col(value).alias("_x")).filter("_x is not null")
     x = F.col("_x")
     whole = rows.agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).first()
