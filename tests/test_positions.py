@@ -53,6 +53,19 @@ def test_decisions_agree_with_all_actions(spark, late):
         assert r.reroll_value == max((a.value for a in own if a.action >= positions.KEEP), default=None)
 
 
+def test_any_table_of_positions(spark, late):
+    model, after, table = late
+    mask = reference_queries.TWO_LEFT
+    rows = [("a", mask, 0, 7, 2), ("b", mask, 0, 7, 2), ("c", mask, 40, 251, 0), ("d", (1 << 15) - 1, 3, 1, 1)]
+    frame = spark.createDataFrame(rows, "name string, mask long, upper long, roll_id long, rerolls long")
+    solved = positions.Solved(spark, table)
+    found = {r.name: r for r in positions.answered(frame, solved).collect()}
+    want = {(r.upper, r.roll_id, r.rerolls): r for r in positions.margins(positions.actions(frame, solved)).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for name, _, upper, roll, rerolls in rows[:3]:
+        assert (found[name].action, found[name].value) == (want[upper, roll, rerolls].action, want[upper, roll, rerolls].value)
+
+
 def test_even_states_are_those_of_a_plain_list(spark):
     layers = {}
     for r in st.states(spark).filter("layer < 15").select("layer", "state_index").collect():

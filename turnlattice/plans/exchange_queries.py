@@ -3,14 +3,19 @@ and selection by position, with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlattice.functions import canonical, intervals
 from turnlattice.operators import checks, digests, selection
+from turnlattice.operators import states as st
+from turnlattice.operators.actions import tie_class
 from turnlattice.operators.quantiles import exact_quantiles
 from turnlattice.operators.statistics import QUANTILES
-from turnlattice.plans import runs
+from turnlattice.plans import oracles as o
+from turnlattice.plans import positions, runs
+from turnlattice.plans.model_queries import longs
+from turnlattice.plans.solve import solve
 from turnlattice.plans.table_queries import table
 from turnlattice.sources import formats, records
 from turnlattice.sources.shared import fresh_path, written
@@ -260,3 +265,46 @@ def export_faults(spark, sf_dir):
     found = formats.audited(spark, files)
     kind = F.when(F.col("file").contains("/csv/"), "csv").otherwise("jsonl")
     return found.groupBy(kind.alias("format"), "fault").agg(F.count("*").alias("n"))
+
+
+# decisions at positions that a table names
+
+
+def order_positions(spark, sf_dir: str, states: DataFrame, n: int) -> DataFrame:
+    """o_orderkey and a position of each order: one of `n` states (i from 0, mask, upper), a roll and rerolls left, by its key."""
+    k = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(k, (k * 7 % n).alias("i"), (k % 252).cast("int").alias("roll_id"), (F.floor(k / 252) % 3).cast("int").alias("rerolls"))
+    return asked.join(states, "i").drop("i")
+
+
+@query(f"""WITH {o.MODEL}, {o.STATES}, s AS (SELECT mask, upper FROM all_states WHERE layer = 14), {o.turn("s", None, "t")},
+numbered AS (SELECT mask, upper, row_number() OVER (ORDER BY mask, upper) - 1 AS i FROM s), many AS (SELECT count(*) AS n FROM s),
+asked AS (SELECT o_orderkey, o_orderkey * 7 % n AS i, o_orderkey % 252 AS roll_id, o_orderkey // 252 % 3 AS rerolls FROM orders, many)
+SELECT o_orderkey, mask, upper, roll_id, rerolls, round(CASE rerolls WHEN 0 THEN b.value::DOUBLE WHEN 1 THEN one.value ELSE two.value END, 6) AS value, round(b.value::DOUBLE, 6) AS score_value
+FROM asked JOIN numbered USING (i) JOIN t_best b USING (mask, upper, roll_id) JOIN t_one one USING (mask, upper, roll_id) JOIN t_two two USING (mask, upper, roll_id)""")
+def late_order_values(spark, sf_dir):
+    """What the position of each order is worth, and its best score, with one category left; SQL works the same out by joins."""
+    late = st.states(spark).filter("layer = 14").select("mask", "upper")
+    numbered = late.withColumn("i", (F.row_number().over(Window.orderBy("mask", "upper")) - 1).cast("long"))  # 959 rows
+    rows = positions.answered(order_positions(spark, sf_dir, F.broadcast(numbered), late.count()), positions.Solved(spark, solve(spark)))
+    return longs(rows.select("o_orderkey", "mask", "upper", "roll_id", "rerolls", F.round("value", 6).alias("value"), F.round("score_value", 6).alias("score_value")))
+
+
+@query()
+def order_decisions(spark, sf_dir):
+    """The best action at the position of each order, any of all states, with value, bounds, margin and class; without SQL, as it needs the full solve."""
+    states = st.states(spark).filter("layer < 15").select(F.col("state_index").cast("long").alias("i"), "mask", "upper")
+    rows = positions.answered(order_positions(spark, sf_dir, states, states.count()), positions.Solved(spark, solve(spark)))
+    kind = tie_class(F.col("actions"), (F.col("value"), F.col("lower"), F.col("upper_bound")), (F.col("second"), F.col("second_lower"), F.col("second_upper")))
+    margin = F.coalesce(F.col("value") - F.col("second"), F.lit(0.0))
+    return rows.select("o_orderkey", "mask", "upper", "roll_id", "rerolls", "action", "size", "actions", F.round("value", 6).alias("value"), F.round("lower", 6).alias("lower"), F.round("upper_bound", 6).alias("upper_bound"), F.round(margin, 6).alias("margin"), kind.alias("tie_class"))
+
+
+@query()
+def order_actions(spark, sf_dir):
+    """A report for each order: the 30 best actions at its late position, ranked, with regret against the best."""
+    late = st.states(spark).filter("layer = 14").select("mask", "upper")
+    numbered = late.withColumn("i", (F.row_number().over(Window.orderBy("mask", "upper")) - 1).cast("long"))  # 959 rows
+    asked = order_positions(spark, sf_dir, F.broadcast(numbered), late.count())
+    ranks = positions.ranked(positions.actions(asked.select(*positions.POSITION).distinct(), positions.Solved(spark, solve(spark)))).filter("rank <= 30")
+    return asked.join(ranks, positions.POSITION).select("o_orderkey", "rank", "action", "size", F.round("value", 6).alias("value"), F.round("regret", 6).alias("regret"))

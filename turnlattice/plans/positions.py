@@ -163,6 +163,19 @@ def decided(positions: DataFrame, solved: Solved) -> DataFrame:
     return positions.select(*[F.col(c).cast("int").alias(c) for c in names[:4]]).mapInArrow(answered, DECIDED)
 
 
+POSITION = ["mask", "upper", "roll_id", "rerolls"]
+
+
+def answered(frame: DataFrame, solved: Solved) -> DataFrame:
+    """`frame`, any table with the columns of POSITION, with those that `decided` adds; each different position is worked out once.
+
+    Positions of one state go to one task, so that a state is worked out once, too. Rows of games that have ended are left out.
+    """
+    asked = frame.select(*[F.col(c).cast("int").alias(c) for c in POSITION]).distinct()
+    asked = asked.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "upper")
+    return frame.join(decided(asked, solved), POSITION)
+
+
 def even_states(states: DataFrame, n: int = 32) -> DataFrame:
     """At most `n` evenly spaced states (mask, upper, layer) of each layer below the last, with the states that each stands for.
 
