@@ -71,7 +71,7 @@ def written(frame: DataFrame) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_folder(spark)}/turnlattice-{uuid.uuid4().hex}"
     with _whole_partitions(spark):
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)  # a quarter less than the default for texts, in the same time
     if (own := _OWN.get()) is not None:
         own.append(path)
     atexit.register(_remove, weakref.ref(spark), path)
