@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from turnlattice.plans import exchange_queries
 from turnlattice.sources import formats, records
 from turnlattice.streaming import batches
 
@@ -100,3 +101,16 @@ def test_exports_are_sound(spark, tmp_path):
     frame.repartition(3).write.option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
     files = formats.listed(spark, str(tmp_path), {".json": "jsonl", ".csv": "csv"})
     assert files.count() == 6 and formats.audited(spark, files, range_bytes=100).count() == 0
+
+
+def test_export_whose_first_partition_has_no_rows(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 1).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("5-LOW").alias("o_orderpriority"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 << 10))  # one row group over several splits: it is read where its middle lies
+    try:
+        found = {(r.format, r.fault): r.n for r in exchange_queries.export_faults(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    columns = sum(k % 997 == 5 for k in range(40_000))
+    quotes = sum(k % 1009 == 7 and k % 997 != 5 for k in range(40_000))
+    assert found == {("csv", "columns"): columns, ("csv", "quotes"): quotes, ("jsonl", "not JSON"): sum(k % 991 == 3 for k in range(40_000))}

@@ -141,10 +141,13 @@ def audited(spark: SparkSession, files: DataFrame, layouts: dict[str, Layout] |
     return listed.repartition(4 * spark.sparkContext.defaultParallelism, "file", "begin").mapInArrow(scanned, FAULTS)
 
 
-def listed(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFrame:
-    """file and format of the files below `root` whose name ends in a key of `kinds`; the driver lists names only."""
+def listed(spark: SparkSession, root: str, kinds: dict[str, str], empty: bool = True) -> DataFrame:
+    """file and format of the files below `root` whose name ends in a key of `kinds`; the driver lists names only.
+
+    `empty`: files without a byte, too. Spark writes one where the first of a table's partitions has no rows.
+    """
     store, place = _open(root)
-    found = [i.path for i in store.get_file_info(pyarrow.fs.FileSelector(place, recursive=True)) if i.type == pyarrow.fs.FileType.File and not i.base_name.startswith((".", "_"))]
+    found = [i.path for i in store.get_file_info(pyarrow.fs.FileSelector(place, recursive=True)) if i.type == pyarrow.fs.FileType.File and not i.base_name.startswith((".", "_")) and (empty or i.size)]
     scheme = f"{root.split('://')[0]}://" if "://" in root else ""
     rows = [(f"{scheme}{p}", kind) for p in sorted(found) for end, kind in kinds.items() if p.endswith(end)]
     return spark.createDataFrame(rows, "file string, format string").orderBy(F.col("file"))
