@@ -164,3 +164,19 @@ def test_sum_contains_the_exact_one(spark):
     for r in intervals.interval_sum(frame, "i", "g").collect():
         exact, size = sum(Fraction(x) for g, x in rows if g == r.g), sum(abs(x) for g, x in rows if g == r.g)
         assert Fraction(r.low) <= exact <= Fraction(r.high) and r.high - r.low <= 1e-11 * size and r.n == 1000
+
+
+def test_width_of_a_sum_does_not_grow_with_the_rows(spark):
+    frame = spark.range(0, 3_000_000, 1, 4).select((F.col("id") / 7 + 0.1).alias("x")).withColumn("i", intervals.interval(F.col("x")))
+    r = intervals.interval_sum(frame, "i").first()
+    exact = sum(map(Fraction, (np.arange(3_000_000) / 7 + 0.1)[::3000].tolist()))
+    some = intervals.interval_sum(frame.filter(F.round(F.col("x") * 7 - 0.7) % 3000 == 0), "i").first()
+    assert r.n == 3_000_000 and r.high - r.low < 1e-11 * r.high  # 1e-9 and more by a bound that grows with the rows
+    assert Fraction(some.low) <= exact <= Fraction(some.high)
+
+
+def test_sum_of_any_sizes(spark):
+    values = [0.0, -0.0, 5e-324, -(2.0**-1000), 2.0**-900, 2.0**899, -1.5 * 2.0**899, 8.0, np.nextafter(8.0, 0), 2.0**29, -3.0, 1e300]
+    frame = spark.createDataFrame([(float(v),) for v in values], "x double").withColumn("i", intervals.interval(F.col("x")))
+    r = intervals.interval_sum(frame, "i").first()
+    assert r.n == len(values) and Fraction(r.low) <= sum(map(Fraction, map(float, values))) <= Fraction(r.high)
