@@ -180,3 +180,18 @@ def test_sum_of_any_sizes(spark):
     frame = spark.createDataFrame([(float(v),) for v in values], "x double").withColumn("i", intervals.interval(F.col("x")))
     r = intervals.interval_sum(frame, "i").first()
     assert r.n == len(values) and Fraction(r.low) <= sum(map(Fraction, map(float, values))) <= Fraction(r.high)
+
+
+def test_hundredths_are_told_as_other_numbers(spark):
+    rnd = random.Random(8)
+    values = [rnd.randint(1, 10**rnd.randint(1, 14)) / 100 * rnd.choice([1, -1]) for _ in range(500)] + [0.01, 0.1, 0.07, 1e12, 999999999999.99, 1e11, 0.009, 0.1 + 0.2]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in frame.select("x", canonical.number(F.col("x"), "repr").alias("r"), canonical.number(F.col("x")).alias("e")).collect():
+        assert r.r == repr(r.x) and r.e == repr(r.x).removesuffix(".0")
+
+
+def test_lines_of_orders_are_not_broadcast(spark):
+    from turnlattice.plans.exchange_queries import order_json
+
+    plan = order_json(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

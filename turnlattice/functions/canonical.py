@@ -63,6 +63,18 @@ def _shorter(x: Column, found: Column) -> Column:
     return _let(found, chosen)
 
 
+def _hundredths(size: Column, ecma: bool) -> tuple[Column, Column]:
+    """If a double from 0.01 to 1e12 is the nearest one to a whole number of hundredths; and that number as text.
+
+    Numbers of fifteen digits or fewer are different doubles, so that its digits without the last zeros are the shortest.
+    """
+    cents = F.rint(F.when(size < 1e12, size * 100)).cast("long")
+    whole, part = F.call_function("div", cents, F.lit(100).cast("long")).cast("string"), (cents % 100).cast("int")
+    more = F.when(part == 0, "" if ecma else ".0").when(part % 10 == 0, F.concat(F.lit("."), F.call_function("div", part, F.lit(10)).cast("string")))
+    more = more.when(part < 10, F.concat(F.lit(".0"), part.cast("string"))).otherwise(F.concat(F.lit("."), part.cast("string")))
+    return (size >= 0.01) & (size < 1e12) & (cents.cast("double") / 100 == size), F.concat(whole, more)
+
+
 def number(x: Column, style: str = "ecma") -> Column:
     """A finite double as text; others fail, as JSON has no word for them."""
     if style not in ("ecma", "repr"):
@@ -84,7 +96,9 @@ def number(x: Column, style: str = "ecma") -> Column:
 
     size = F.abs(x)
     zero = F.lit("0") if ecma else F.when(x.cast("string") == "-0.0", "-0.0").otherwise("0.0")
-    text = F.when(size == 0, zero).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), _let(_shorter(size, _shorter(size, _digits(size.cast("string")))), shown)))
+    short, shortly = _hundredths(size, ecma)
+    sign = F.when(x < 0, "-").otherwise("")
+    text = F.when(size == 0, zero).when(short, F.concat(sign, shortly)).otherwise(F.concat(sign, _let(_shorter(size, _shorter(size, _digits(size.cast("string")))), shown)))
     finite = ~F.isnan(x) & (size < float("inf"))
     return F.when(finite, text).when(~finite, F.raise_error(F.lit("JSON has no such number")))
 
