@@ -97,3 +97,10 @@ def test_audit_finds_bad_codes(spark, late):
 
 def test_tables_are_known_by_rules():
     assert len({_version(a, b) for a in (True, False) for b in (True, False)}) == 4
+
+
+def test_positions_of_a_state_follow_each_other(spark, late):
+    model, after, table = late
+    frame = spark.range(50).selectExpr("'x' AS name", f"{reference_queries.TWO_LEFT} + 0 * id AS mask", "id % 60 AS upper", "id AS roll_id", "0 AS rerolls")
+    plan = positions.answered(frame, positions.Solved(spark, table))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Sort [")

@@ -96,29 +96,40 @@ def margins(rows: DataFrame) -> DataFrame:
     return top.select("mask", "upper", "roll_id", "rerolls", (-F.col("b.a")).alias("action"), "b.size", "b.value", (F.col("b.value") - second["value"]).alias("margin"), (F.col("b.lower") > second["upper_bound"]).alias("parted"), "actions")
 
 
-class _Best:
-    """For one state and number of rerolls, by roll: what `decided` tells."""
-
-    def __init__(self, t: kernel.Tables, tables: list[np.ndarray], mask: int, upper: int, padded: np.ndarray) -> None:
-        opened, score, kept = _state(t, tables, mask, upper)
-        self.by_rerolls = []
-        rows = np.arange(252)
-        for rerolls in range(3):
-            ids = np.repeat(np.array([opened], np.int32), 252, axis=0)
-            sizes, values = np.full(ids.shape, -1, np.int32), score.transpose(0, 2, 1)
-            if rerolls and opened:
-                legal = padded >= 0
-                ids, sizes = np.concatenate([ids, KEEP + padded], axis=1), np.concatenate([sizes, t.sizes[padded]], axis=1)
-                values = np.concatenate([values, np.where(legal, kept[rerolls - 1][:, padded], -np.inf)], axis=2)
-            middle = values[0].copy()
-            first = middle.argmax(axis=1)  # of equal values the lower action
-            told = [ids[rows, first], sizes[rows, first], *values[:, rows, first]]
-            middle[rows, first] = -np.inf
-            second = middle.argmax(axis=1)
-            other = np.where(np.isfinite(middle[rows, second]), values[:, rows, second], np.nan)
-            n = len(opened)
-            again = values[0][:, n:].max(axis=1) if rerolls else np.full(252, np.nan)
-            self.by_rerolls.append([*told, *other, values[0][:, :n].max(axis=1), again, np.isfinite(values[0]).sum(axis=1).astype(np.int32)])
+#: States that are worked out at a time.
+STATES = 256
+
+
+def _told(t: kernel.Tables, tables: list[np.ndarray], padded: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """What `decided` tells of positions (mask, upper, roll_id, rerolls a row): each of their states is worked out once, all together."""
+    mask, upper, roll, rerolls = keys.T
+    states, own = np.unique(mask << 6 | upper, return_inverse=True)
+    state_mask, state_upper = states >> 6, states & 63
+    values = np.full((len(tables), len(keys), 15 + padded.shape[1]), -np.inf)
+    for k, following in enumerate(tables):
+        for c in range(15):
+            at = np.flatnonzero(mask >> c & 1 == 0)
+            points, u = t.points[roll[at], c], upper[at]
+            after = np.minimum(63, u + points) if c < 6 else u
+            grant = np.where((u < 63) & (after == 63), 50, 0) if c < 6 else 0
+            values[k, at, c] = points + grant + following[mask[at] | 1 << c, after]
+        best, code = kernel.scored(t, following, state_mask, state_upper)
+        kept = kernel.kept_values(t, best)
+        for left in (1, 2):
+            if left == 2:
+                kept = kernel.kept_values(t, kernel.improved(t, best, code, kept, False)[0])
+            at = np.flatnonzero(rerolls == left)
+            values[k, at, 15:] = np.where(padded[roll[at]] >= 0, kept[padded[roll[at]], own[at][:, None]], -np.inf)
+    rows = np.arange(len(keys))
+    middle = values[0].copy()
+    first = middle.argmax(axis=1)  # of equal values the lower action
+    keeper = padded[roll, np.maximum(first - 15, 0)]
+    action, size = np.where(first < 15, first, KEEP + keeper), np.where(first < 15, -1, t.sizes[keeper])
+    middle[rows, first] = -np.inf
+    second = middle.argmax(axis=1)
+    other = np.where(np.isfinite(middle[rows, second]), values[:, rows, second], np.nan)
+    again = np.where(rerolls > 0, values[0][:, 15:].max(axis=1), np.nan)
+    return [action, size, *values[:, rows, first], *other, values[0][:, :15].max(axis=1), again, np.isfinite(values[0]).sum(axis=1)]
 
 
 DECIDED = "mask int, upper int, roll_id int, rerolls int, action int, size int, value double, lower double, upper_bound double, second double, second_lower double, second_upper double, score_value double, reroll_value double, actions int"
@@ -138,26 +149,16 @@ def decided(positions: DataFrame, solved: Solved) -> DataFrame:
         padded = np.full((252, max(map(len, t.legal))), -1, np.int32)
         for roll, own in enumerate(t.legal):
             padded[roll, : len(own)] = own
-        memo: dict = {}
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in names[:4]], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in names[:4]], axis=1).astype(np.int64)
             keys = keys[keys[:, 0] != (1 << 15) - 1]
-            parts = []
-            order = np.lexsort(keys.T[[3, 1, 0]])
-            keys = keys[order]
-            edges = [0, *(np.flatnonzero((np.diff(keys[:, [0, 1, 3]], axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                mask, upper, _, rerolls = map(int, keys[a])
-                if (mask, upper) not in memo:
-                    if len(memo) > 2000:
-                        memo.clear()
-                    memo[mask, upper] = _Best(t, tables, mask, upper, padded)
-                parts.append([c[keys[a:b, 2]] for c in memo[mask, upper].by_rerolls[rerolls]])
+            keys = keys[np.lexsort(keys.T[[3, 1, 0]])]
+            fresh = np.flatnonzero(np.append(True, (np.diff(keys[:, :2], axis=0) != 0).any(axis=1))) if len(keys) else np.zeros(0, int)
+            edges = [*fresh[::STATES].tolist(), len(keys)]
+            parts = [_told(t, tables, padded, keys[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
             told = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(11)]
-            columns = [pa.array(keys[:, i], pa.int32()) for i in range(4)]
-            columns += [pa.array(c, pa.int32() if i in (0, 1, 10) else pa.float64(), from_pandas=True) for i, c in enumerate(told)]
+            columns = [pa.array(keys[:, i].astype(np.int32)) for i in range(4)]
+            columns += [pa.array(c.astype(np.int32)) if i in (0, 1, 10) else pa.array(c, pa.float64(), from_pandas=True) for i, c in enumerate(told)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return positions.select(*[F.col(c).cast("int").alias(c) for c in names[:4]]).mapInArrow(answered, DECIDED)
@@ -169,10 +170,11 @@ POSITION = ["mask", "upper", "roll_id", "rerolls"]
 def answered(frame: DataFrame, solved: Solved) -> DataFrame:
     """`frame`, any table with the columns of POSITION, with those that `decided` adds; each different position is worked out once.
 
-    Positions of one state go to one task, so that a state is worked out once, too. Rows of games that have ended are left out.
+    Positions of one state go to one task and follow each other there, so that a state is worked out once, too (twice where a
+    batch ends), however many positions ask for it. Rows of games that have ended are left out.
     """
     asked = frame.select(*[F.col(c).cast("int").alias(c) for c in POSITION]).distinct()
-    asked = asked.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "upper")
+    asked = asked.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "upper").sortWithinPartitions("mask", "upper")
     return frame.join(decided(asked, solved), POSITION)
 
 
