@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import corpus
-from turnlattice.llm import suffix_dedup
+from turnlattice.llm import common, sorted_ranks, suffix_dedup
 
 
 def expected(texts, length):
@@ -87,3 +88,27 @@ def test_empty_and_columns(spark, tmp_path):
     docs = corpus.table(spark, tmp_path / "d")
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_rounds_write_repeated_rows_only(spark, monkeypatch):
+    """What is unique isn't written between rounds, but for a first and a last row of each partition."""
+    tables = []
+    monkeypatch.setattr(sorted_ranks, "written", lambda frame: tables.append(common.written(frame)) or tables[-1])
+    frame = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(F.col("id") + 1000).alias("k"))
+    found = sorted_ranks.ranked(frame, ["k"], "row", kept=["k"], repeats=True).collect()
+    assert Counter((r.row, r.k) for r in found) == Counter((i, i % 70) for i in range(0, 3000, 10))
+    assert len({r.name for r in found}) == len({(r.name, r.k) for r in found}) == 7 and all(r.again for r in found)
+    assert tables[0].filter("_edge is null").count() <= 300 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_runs_of_a_row_stay_together(spark, monkeypatch, bounded):
+    """Runs with a shared gram are kept in their rows without a shuffle, unless there are too many grams for a filter."""
+    runs = [(i, [(j, j + 1, j, i * j) for j in range(i)]) for i in range(1, 9)]
+    grams = common.written(spark.createDataFrame([(12,), (20,), (0,)], "gram long"))
+    if not bounded:
+        monkeypatch.setattr(suffix_dedup.chunks, "bounded_filter", lambda longs: None)
+    found = suffix_dedup._shared(common.written(spark.createDataFrame(runs, suffix_dedup._RUNS)), grams)
+    assert ("Exchange" not in found._jdf.queryExecution().executedPlan().toString()) == bounded
+    wanted = {i: sorted(r for r in rs if r[3] in (0, 12, 20)) for i, rs in runs}
+    assert {r._row: sorted(tuple(x) for x in r.runs) for r in found.collect()} == {i: rs for i, rs in wanted.items() if rs}

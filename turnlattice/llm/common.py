@@ -99,6 +99,12 @@ def forget(*tables: DataFrame) -> None:
         _remove(weakref.ref(table.sparkSession), _PATHS.pop(table))
 
 
+def tied(frame: DataFrame, table: DataFrame) -> DataFrame:
+    """`frame`, to forget which is to delete the written table that `table` reads."""
+    _PATHS[frame] = _PATHS[table]
+    return frame
+
+
 def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """build() as a written table. The tables that it wrote on its way are deleted, and shuffle files with them.
 

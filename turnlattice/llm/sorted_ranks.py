@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlattice.llm.common import partitions, written
+from turnlattice.llm.common import partitions, tied, written
 
 #: Names within a partition are below 2 ^ SHIFT, partitions above it.
 SHIFT = 40
@@ -31,11 +31,12 @@ def _differs(one: list[pa.Array], other: list[pa.Array]) -> pa.Array:
     return out
 
 
-def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str]):
+def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str], repeats: bool):
     """Names within one sorted partition: the number of different keys before; then a row with the partition's edges.
 
     _flags: 1 for the first row of its key, 2 if it isn't the only one. _edge is for the driver: names, the first and the last
     key, and if different keys share the first `lead` of them there. The keys in `kept` stay, those in `once` in fresh rows only.
+    `repeats`: rows whose key no other row has are left out, but for the first and the last one, as others may go on with those.
     """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +62,11 @@ def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str]):
             first, last, count = first or edges[0], edges[1], local[-1].as_py() + 1
             own = [batch.column(f.name) if f.name not in once else pc.if_else(fresh, batch.column(f.name), pa.scalar(None, f.type)) for f in fields]
             flags = pc.add(fresh.cast(pa.int8()), pc.multiply(again.cast(pa.int8()), pa.scalar(2, pa.int8())))
-            return pa.RecordBatch.from_arrays([*own, pc.add(local, part << SHIFT), flags, pa.nulls(n, pa.binary())], [*(f.name for f in fields), "_place", "_flags", "_edge"])
+            out = pa.RecordBatch.from_arrays([*own, pc.add(local, part << SHIFT), flags, pa.nulls(n, pa.binary())], [*(f.name for f in fields), "_place", "_flags", "_edge"])
+            if not repeats:
+                return out
+            stays = pc.or_(again, pc.equal(local, 0))
+            return out.filter(stays if following is not None else pa.concat_arrays([stays.slice(0, n - 1), pa.array([True])]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -79,19 +84,22 @@ def _local_names(keys: list[str], lead: int, kept: list[str], once: list[str]):
     return name
 
 
-def ranked(frame: DataFrame, keys: list[str], row: str, ranges: list[str] | None = None, kept: list[str] | None = None, once: list[str] | None = None) -> DataFrame:
+def ranked(frame: DataFrame, keys: list[str], row: str, ranges: list[str] | None = None, kept: list[str] | None = None, once: list[str] | None = None, repeats: bool = False) -> DataFrame:
     """`frame` with its non-null `keys` replaced by `name`, `fresh` and `again`.
 
     name: an integer; equal keys have equal names, different keys different ones. again: another row has the same keys.
     fresh: one row of each key. `row` is a non-null column that tells the rows of one key apart. `ranges`: the first of
     `keys`, if the others follow from them all but always; only they are sampled for the bounds of partitions then.
     `kept`: keys that stay as columns; `once`: keys that stay in fresh rows only.
+    `repeats`: only rows with `again` are returned.
+
+    To `forget` the frame is to delete the written table that it reads.
     """
     spark, kept, once, lead = frame.sparkSession, kept or [], once or [], len(ranges or keys)
     fields = [f for f in frame.schema if f.name not in keys or f.name in [*kept, *once]]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("_place", T.LongType()), T.StructField("_flags", T.ByteType()), T.StructField("_edge", T.BinaryType())])
     by_range = frame.repartitionByRange(partitions(spark), *(ranges or keys), row).sortWithinPartitions(*keys, row)
-    local = written(by_range.mapInArrow(_local_names(keys, lead, kept, once), schema))
+    local = written(by_range.mapInArrow(_local_names(keys, lead, kept, once, repeats), schema))
     bases, total, last, mixed = [], 0, None, False
     for r in local.filter("_edge is not null").select("_place", "_edge").orderBy("_place").collect():
         count, first, end, clash = pickle.loads(r["_edge"])
@@ -101,10 +109,11 @@ def ranked(frame: DataFrame, keys: list[str], row: str, ranges: list[str] | None
         bases.append([r["_place"] >> SHIFT, total - (first == last), count - 1, first == last, False])
         total, last = total - (first == last) + count, end
     if lead < len(keys) and mixed:
-        return ranked(frame, keys, row, kept=kept, once=once)
+        return ranked(frame, keys, row, kept=kept, once=once, repeats=repeats)
     base = spark.createDataFrame(bases, "_part long, _base long, _end long, _head boolean, _tail boolean")
     # a row for each partition at most, so the broadcast has a bound
     placed = local.filter("_edge is null").withColumn("_part", F.shiftright("_place", SHIFT)).withColumn("_local", F.col("_place").bitwiseAND(F.lit((1 << SHIFT) - 1))).join(F.broadcast(base), "_part")
     at_head, at_tail = F.col("_head") & (F.col("_local") == 0), F.col("_tail") & (F.col("_local") == F.col("_end"))
     flag = lambda bit: F.col("_flags").bitwiseAND(F.lit(bit).cast("byte")) != 0
-    return placed.select(*(f.name for f in fields), (F.col("_base") + F.col("_local")).alias("name"), (flag(1) & ~at_head).alias("fresh"), (flag(2) | at_head | at_tail).alias("again"))
+    out = placed.select(*(f.name for f in fields), (F.col("_base") + F.col("_local")).alias("name"), (flag(1) & ~at_head).alias("fresh"), (flag(2) | at_head | at_tail).alias("again"))
+    return tied(out.filter("again") if repeats else out, local)

@@ -36,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import forget, hidden, release, row_ids, settled, sliced, utf8, written
+from turnlattice.llm.common import forget, hidden, release, row_ids, settled, sliced, tied, utf8, written
 from turnlattice.llm.sorted_ranks import ranked
 
 #: Bytes of a repeated string, of the anchors, and of a step between ranked places.
 LENGTH, GRAM, UNIT = 400, 32, 25
 #: The same for passages in prose: 50 short words have 200 bytes and more.
 PASSAGE = 200
+_FIELDS = ["low", "high", "anchor", "gram"]
+_RUNS = "_row long, runs array<struct<low int, high int, anchor int, gram long>>"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -89,7 +91,7 @@ def anchored_runs(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int
 
 
 def _runs(rows: DataFrame, length: int, chosen: DataFrame) -> DataFrame:
-    """_row, low, high, anchor, gram of all runs in those `rows` (_row, data) that `chosen` names, and maybe in a few more."""
+    """_row and all its runs (low, high, anchor, gram), for those `rows` (_row, data) that `chosen` names, and maybe a few more."""
     table = chunks.bounded_filter(chosen)
     if table is None:
         rows = rows.join(chosen.toDF("_row"), "_row", "left_semi")
@@ -99,11 +101,42 @@ def _runs(rows: DataFrame, length: int, chosen: DataFrame) -> DataFrame:
             if table is not None:
                 batch = batch.filter(pa.array(chunks.members(table.value, batch.column("_row").to_numpy())))
             numbers, data = batch.column("_row").to_pylist(), batch.column("data")
-            out = [(row, *r) for i, row in enumerate(numbers) for r in anchored_runs(data[i].as_py(), length)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 3, pa.int64()], strict=True)], ["_row", "low", "high", "anchor", "gram"])
+            out = [anchored_runs(data[i].as_py(), length) for i in range(len(numbers))]
+            flat = [r for runs in out for r in runs]
+            columns = list(zip(*flat, strict=True)) if flat else [[]] * 4
+            parts = [pa.array(c, t) for c, t in zip(columns, [*[pa.int32()] * 3, pa.int64()], strict=True)]
+            yield _lists(pa.array(numbers, pa.int64()), np.array([len(runs) for runs in out], np.int64), parts)
 
-    return rows.select("_row", "data").mapInArrow(found, "_row long, low int, high int, anchor int, gram long")
+    return rows.select("_row", "data").mapInArrow(found, _RUNS)
+
+
+def _lists(rows: pa.Array, sizes: np.ndarray, parts: list[pa.Array]) -> pa.RecordBatch:
+    """A batch of _row and runs, so many for each row; rows without any are left out."""
+    some = sizes > 0
+    offsets = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+    runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, _FIELDS))
+    return pa.RecordBatch.from_arrays([rows.filter(pa.array(some)), runs], ["_row", "runs"])
+
+
+def _shared(runs: DataFrame, grams: DataFrame) -> DataFrame:
+    """`runs` (_row, runs) without the runs whose gram isn't in the written table `grams`, maybe but for a few.
+
+    A row's runs stay together: they needn't be gathered again, unless there are too many grams for a broadcast filter.
+    """
+    table = chunks.bounded_filter(grams)
+    if table is None:
+        single = runs.select("_row", F.explode("runs").alias("r")).withColumn("gram", F.col("r.gram"))
+        return single.join(grams, "gram", "left_semi").groupBy("_row").agg(F.collect_list("r").alias("runs"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            parts = lists.flatten().flatten()
+            some = chunks.members(table.value, parts[-1].to_numpy())
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            yield _lists(batch.column("_row"), np.bincount(row[some], minlength=len(lists)), [x.filter(pa.array(some)) for x in parts])
+
+    return runs.mapInArrow(held, _RUNS)
 
 
 def _doubled(places: DataFrame, by: list[int]) -> DataFrame:
@@ -117,18 +150,25 @@ def _pair(by: int):
     return lambda e: F.struct(e["key"].alias("at"), F.lit(by).alias("by"), e["value"].alias("a"), F.try_element_at(F.col("ranks"), e["key"] + by).alias("b"))
 
 
-def _rank(spark, build, before: DataFrame | None = None) -> DataFrame:
-    """The repeated ranks of a round as a written table; that of the round before goes."""
-    out = settled(spark, lambda: build().filter("again").drop("again", "fresh"))
+def _rank(frame: DataFrame, keys: list[str], kept: list[str] | None = None, before: DataFrame | None = None) -> DataFrame:
+    """The repeated ranks of a round, read from the table that the sort has written; that of the round before goes."""
+    found = ranked(frame, keys, "run", kept=kept, repeats=True)
     if before is not None:
         forget(before)
-    return out
+    release(frame.sparkSession)
+    return tied(found.drop("again", "fresh"), found)
 
 
 def _bit(e: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), e)
 
 
+def _bits(first: Column, last: Column, unit: int) -> Column:
+    """The bits of those distances from 1 to `unit` - 1 that lie from `first` to `last`; no bit if one of those is null."""
+    low, high = F.when(first > 1, first).otherwise(1), F.when(last < unit - 1, last).otherwise(unit - 1)
+    return F.when((first <= last) & (first < unit) & (last > 0), _bit(high + 1) - _bit(low)).otherwise(F.lit(0).cast("long"))
+
+
 def _cut(rows: DataFrame, held: DataFrame, start: Column, end: Column) -> DataFrame:
     """_row, r and bytes for each r in `held` (_row, runs): the bytes from `start` to `end` of its row."""
     texts = chunks.within(rows.select("_row", "data"), "_row", held.select("_row")).join(held, "_row")
@@ -154,8 +194,8 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     alike = written(light.groupBy("digest").agg(F.min("_row").alias("first"), F.count("*").alias("n")))
     copies = written(light.join(alike.filter("n > 1").select("digest"), "digest", "left_semi").select("_row", F.lit(0).alias("start"), "end"))
     runs = written(_runs(rows, length, alike.select("first")))
-    grams = written(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    held = written(chunks.within(runs, "gram", grams).groupBy("_row").agg(F.collect_list(F.struct("low", "high", "anchor", "gram")).alias("runs")))
+    grams = written(runs.select(F.explode("runs.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    held = written(_shared(runs, grams))
     release(spark)
 
     forget(runs, grams, light, alike)
@@ -164,7 +204,8 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     # a sort by range reads its rows twice, so that the texts are joined before
     cut = written(_cut(rows, held, F.col("r.low"), F.col("r.high") + length).select("_row", "r.*", F.unhex(F.sha2("bytes", 256)).alias("digest")))
     release(spark)
-    kinds = written(ranked(cut, ["gram", "digest"], "_row", kept=["gram"]))
+    # a first key that few different keys share is quick to sort by
+    kinds = ranked(cut, ["digest", "gram"], "_row", kept=["gram"])
     forget(held, cut)
     release(spark)
     whole = kinds.filter("again").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
@@ -180,14 +221,16 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     first = F.ceil((F.col("low") - F.col("anchor")) / unit).cast("int")
     last = F.floor((F.col("high") + length - F.col("anchor")) / unit).cast("int") - 2
     places = runs.select("run", "gram", "low", "anchor", "bytes", F.explode(F.sequence(first, last)).alias("at"))
-    places = places.select("run", "at", "gram", _part("bytes", F.col("anchor") + unit * F.col("at") - F.col("low"), F.lit(2 * unit)).alias("bytes"))
-    ranks = _rank(spark, lambda: ranked(places, ["gram", "at", "bytes"], "run", kept=["at"]))
+    # equal windows agree in anchor and distance; where different ones share this number, the bytes tell all the same
+    near = F.col("gram").bitwiseAND(F.lit(-512)).bitwiseOR(F.col("at").bitwiseAND(511))
+    places = places.select("run", "at", near.alias("near"), _part("bytes", F.col("anchor") + unit * F.col("at") - F.col("low"), F.lit(2 * unit)).alias("bytes"))
+    ranks = _rank(places, ["near", "bytes"])
     size = 2
     while 2 * size < units:
-        ranks = _rank(spark, lambda: ranked(_doubled(ranks, [size]).drop("by"), ["a", "b"], "run"), ranks)
+        ranks = _rank(_doubled(ranks, [size]).drop("by"), ["a", "b"], before=ranks)
         size *= 2
     cell, window = units - 1 - size, units - size
-    ranks = _rank(spark, lambda: ranked(_doubled(ranks, [cell, window]), ["by", "a", "b"], "run", kept=["by"]), ranks)
+    ranks = _rank(_doubled(ranks, [cell, window]), ["a", "b", "by"], kept=["by"], before=ranks)
 
     per_run = ranks.groupBy("run").agg(
         F.min(F.when(F.col("by") == window, F.col("at"))).alias("least"),
@@ -196,19 +239,23 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     )
     known = [(F.col("anchor") + unit * F.col(c)).alias(c) for c in ("least", "most")]
     per_run = written(per_run.join(runs.drop("gram", "bytes"), "run").select("run", "_row", "low", "high", "anchor", "single", *known, "cells"))
+    forget(ranks)
     place = F.col("anchor") + unit * F.col("at")
-    asked = F.filter(F.sequence(F.lit(1), F.lit(unit - 1)), lambda e: F.col("single") & (place - e >= F.col("low")) & (place - e <= F.col("high")) & (F.col("least").isNull() | (place - e < F.col("least")) | (place - e > F.col("most"))))
+    inside = _bits(place - F.col("high"), place - F.col("low"), unit)
+    known = _bits(place - F.col("most"), place - F.col("least"), unit)
+    asked = F.when(F.col("single"), inside.bitwiseAND(F.bitwise_not(known))).otherwise(F.lit(0).cast("long"))
     cells = per_run.select("run", "low", "high", "anchor", "single", "least", "most", F.explode("cells").alias("c")).select("*", "c.*")
-    cells = written(cells.select("run", "at", "name", F.aggregate(asked, F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(_bit(e))).alias("asked")))
+    cells = written(cells.select("run", "at", "name", asked.alias("asked")))
     # which distances anyone asks for, by the cell's rank; equal cells answer for all of them
     wanted = written(cells.groupBy("name").agg(F.bit_or("asked").alias("wanted")).filter("wanted != 0"))
     left = written(cells.join(wanted, "name").groupBy("run").agg(F.collect_list(F.struct("at", "name", "asked", "wanted")).alias("cells")))
     ends = chunks.within(runs, "run", left.select("run")).join(left, "run").select("run", "low", "high", "anchor", "bytes", F.explode("cells").alias("c")).select("*", "c.*").drop("c", "cells")
-    distances = F.filter(F.sequence(F.lit(1), F.lit(unit - 1)), lambda e: (F.col("wanted").bitwiseAND(_bit(e)) != 0) & (place - e >= F.col("low")) & (place - e <= F.col("high")))
-    ends = ends.select("run", "low", place.alias("place"), "name", "asked", "bytes", F.explode(distances).alias("e"))
+    ends = ends.select("run", "low", place.alias("place"), "name", "asked", "bytes", F.col("wanted").bitwiseAND(inside).alias("answered")).filter("answered != 0")
+    ends = ends.select("*", F.explode(F.sequence(F.lit(1), F.lit(unit - 1))).alias("e")).filter(F.col("answered").bitwiseAND(_bit(F.col("e"))) != 0)
     rest = F.concat(_part("bytes", F.col("place") - F.col("e") - F.col("low"), F.col("e")), _part("bytes", F.col("place") + length - unit - F.col("low"), F.lit(unit) - F.col("e")))
-    ends = ends.select("run", (F.col("place") - F.col("e")).alias("place"), (F.col("asked").bitwiseAND(_bit(F.col("e"))) != 0).alias("open"), "name", "e", rest.alias("rest"))
-    ends = ranked(ends.withColumnRenamed("name", "cell"), ["cell", "e", "rest"], "run").filter("again and open").select("run", "place")
+    open_ = F.col("asked").bitwiseAND(_bit(F.col("e"))) != 0
+    ends = ends.select("run", (F.col("place") - F.col("e")).alias("place"), open_.alias("open"), (F.col("name") * unit + F.col("e")).alias("cell"), rest.alias("rest"))
+    ends = ranked(ends, ["cell", "rest"], "run", repeats=True).filter("open").select("run", "place")
     both = per_run.filter("single and least is not null").select("run", F.explode(F.array("least", "most")).alias("place")).unionByName(ends)
     spans = both.groupBy("run").agg(F.min("place").alias("start"), (F.max("place") + length).alias("end")).join(per_run.select("run", "_row"), "run").select("_row", "start", "end")
     out = written(copies.unionByName(whole).unionByName(spans))
