@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlattice.llm.common import written
+from turnlattice.llm.common import FEW, alone, written
 
 LEAST, MEAN_BITS, MOST = 512, 11, 8192
 #: Bloom filters that are broadcast have this many bits for each key, between these bounds (8 KiB and 16 MiB).
@@ -89,20 +89,21 @@ def filter_bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n - 1).bit_length()))
 
 
-def membership(longs: DataFrame) -> np.ndarray:
-    """A Bloom filter over the hashes in a one-column frame of longs, which is read twice, as 64-bit words.
+def membership(longs: DataFrame, n: int | None = None) -> np.ndarray:
+    """A Bloom filter over the hashes in a one-column frame of longs, which is read twice, as 64-bit words; `n`: their count, if known.
 
     Words are merged by aggregation, so that the driver gets 2^21 numbers at most. What it holds by mistake is only looked at
     once more, which changes no result; beyond 2^23 keys that happens ever more often.
     """
-    bits = filter_bits(longs.count())
+    n = longs.count() if n is None else n
+    bits = filter_bits(n)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = _places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((np.uint64(1) << (places & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
 
-    merged = longs.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    merged = alone(longs, n <= FEW).mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().view(np.uint64)
     return table
@@ -114,13 +115,14 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([h, h >> np.uint64(12), h >> np.uint64(24)], axis=1).astype(np.uint64).view(np.int64) & (bits - 1)
 
 
-def broadcast_filter(longs: DataFrame):
-    return longs.sparkSession.sparkContext.broadcast(membership(longs))
+def broadcast_filter(longs: DataFrame, n: int | None = None):
+    return longs.sparkSession.sparkContext.broadcast(membership(longs, n))
 
 
 def bounded_filter(longs: DataFrame):
     """A broadcast filter of a written table of longs; None where there are too many for its size."""
-    return broadcast_filter(longs) if BITS_A_KEY * longs.count() <= MOST_BITS else None
+    n = longs.count()
+    return broadcast_filter(longs, n) if BITS_A_KEY * n <= MOST_BITS else None
 
 
 def within(frame: DataFrame, column: str, longs: DataFrame) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 #: The bytes of an Arrow batch, by which Spark hands rows to Python; with texts, ten thousand rows are a lot of memory.
 BATCH_BYTES = 4 << 20
 
+#: Rows of a few numbers each that one task takes.
+FEW = 200_000
+
 #: The written tables by the frames that read them, and those that the innermost `settled` of this thread has seen.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
@@ -160,6 +163,25 @@ def with_answers(frame: DataFrame, added: list[T.StructField], begin: Callable[[
     return rest.toDF(*plain).mapInArrow(answered, T.StructType(fields)).toDF(*rest.columns, *(f.name for f in added))
 
 
+def few(*tables: DataFrame) -> bool:
+    """If the rows of these written tables together are one task's work."""
+    return sum(t.count() for t in tables) <= FEW
+
+
+def alone(frame: DataFrame, small: bool) -> DataFrame:
+    """`frame` in one part if it is `small`: it is grouped without a shuffle then, and so are frames in one part joined.
+
+    The driver keeps account of each task of a shuffle.
+    """
+    return frame.coalesce(1) if small else frame
+
+
+def unsent(frame: DataFrame, small: bool) -> DataFrame:
+    """`frame` for a join with another in one part, if it is `small`: by merging rather than by a broadcast, whose table stays
+    in the driver until garbage is collected."""
+    return frame.hint("merge") if small else frame
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlattice.llm.common import forget, hidden, row_ids, settled, written
+from turnlattice.llm.common import FEW, alone, forget, hidden, row_ids, settled, unsent, written
 
 WORDS, DISTANCE, PARTS, HOT = 3, 2, 3, 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -169,17 +169,21 @@ def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, hot: i
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of the links (a, b) with the least node that it is connected to."""
+    """(node, root): each node of the links (a, b) with the least node that it is connected to.
 
-    def star(now: DataFrame, large: bool) -> DataFrame:
+    Rounds over few links are one task each, without shuffles.
+    """
+
+    def star(now: DataFrame, large: bool, small: bool) -> DataFrame:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else now
+        both = alone(both, small)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = both.join(least, "a")
+        moved = both.join(unsent(least, small), "a")
         if large:
             moved = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return moved.filter("a != b").distinct()
+        return alone(moved.filter("a != b"), small).distinct()
 
     def state(now: DataFrame) -> tuple:
         return tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum((F.xxhash64("a", "b") % 1_000_003))).first())
@@ -188,13 +192,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(now)
     while True:
         # parts by the number of links, so that rounds over few links are few tasks
-        following = written(star(star(now, True), False).coalesce(1 + before[0] // EDGES))
+        small = before[0] <= FEW
+        following = written(star(star(now, True, small), False, small).coalesce(1 + before[0] // EDGES))
         forget(now)
         now, after = following, state(following)
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    leaves = alone(now, before[0] <= FEW)
+    return leaves.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(leaves.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, distance: int = DISTANCE, parts: int = PARTS, hot: int = HOT) -> DataFrame:
