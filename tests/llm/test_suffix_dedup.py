@@ -112,3 +112,23 @@ def test_runs_of_a_row_stay_together(spark, monkeypatch, bounded):
     assert ("Exchange" not in found._jdf.queryExecution().executedPlan().toString()) == bounded
     wanted = {i: sorted(r for r in rs if r[3] in (0, 12, 20)) for i, rs in runs}
     assert {r._row: sorted(tuple(x) for x in r.runs) for r in found.collect()} == {i: rs for i, rs in wanted.items() if rs}
+
+
+def test_few_equal_cells_are_compared_in_pairs(spark, tmp_path, monkeypatch):
+    """As the sort of all windows tells, with a sort less."""
+    rnd = random.Random(11)
+    fill = lambda n: "".join(rnd.choice("abcdefgh \u00e9") for _ in range(n))
+    texts = []
+    for n in (2, 3, 5, 9):
+        base = fill(900)
+        for _ in range(n):
+            a, b = sorted((rnd.randrange(0, 350), rnd.randrange(500, 900)))
+            texts.append(fill(rnd.randint(0, 60)) + base[a:b] + fill(rnd.randint(0, 60)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs, sorts, ranked = spark.read.parquet(str(tmp_path / "t")), [], suffix_dedup.ranked
+    monkeypatch.setattr(suffix_dedup, "ranked", lambda frame, keys, *a, **b: sorts.append(keys) or ranked(frame, keys, *a, **b))
+    for pairs, some in ((64, False), (1, True)):
+        monkeypatch.setattr(suffix_dedup, "PAIRS", pairs)
+        sorts.clear()
+        assert Counter(tuple(r) for r in suffix_dedup.removed(docs).collect()) == wanted(docs.collect(), 400, 200)
+        assert (["cell", "rest"] in sorts) == some

@@ -14,13 +14,14 @@ whose answer follows from others, are left out before, which loses none:
    repeated window. The others are sorted by (hash, SHA-256 of their bytes); equal runs are repeated as a whole, and one of
    them stands for all in what follows. Equal rows and equal runs are the places where a digest stands for bytes: of 256
    bits, for which no two different strings with one digest are known. All other ranks come from the bytes themselves.
-2. Places at every `unit` bytes from the anchor are ranked by their first 2 units, and ranks are doubled (50, 100, 200 bytes
-   with a unit of 25), always within one anchor and distance from it, as equal windows agree in both. Pairs at a last offset
+2. Places at every `unit` bytes from the anchor are ranked by their first 2 units, and ranks are doubled (100, 200 bytes with
+   a unit of 50), always within one anchor and distance from it, as equal windows agree in both. Pairs at a last offset
    give the ranks of `length` - `unit` bytes, which all windows in a cell (from one place to the next) contain, and of
    `length` bytes.
 3. A window at a place of `length` repeated bytes is repeated. Windows of a run overlap, so that all between two repeated ones
-   are covered. Left are the windows before the first such place and after the last one, in cells whose rank is repeated: they
-   are ranked by (rank of the cell, distance from its place, bytes that the cell leaves out), together with the windows in the
+   are covered. Left are the windows before the first such place and after the last one, in cells whose rank is repeated. Where
+   up to PAIRS cells are equal, the bytes before and after every two of them are compared. Where more are, the windows are
+   ranked by (rank of the cell, distance from its place, bytes that the cell leaves out), together with the windows in the
    same distance of all equal cells.
 """
 
@@ -36,13 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlattice.llm import chunks
-from turnlattice.llm.common import forget, hidden, release, row_ids, settled, sliced, tied, utf8, written
+from turnlattice.llm.common import forget, hidden, partitions, release, row_ids, settled, sliced, tied, utf8, written
 from turnlattice.llm.sorted_ranks import ranked
 
 #: Bytes of a repeated string, of the anchors, and of a step between ranked places.
-LENGTH, GRAM, UNIT = 400, 32, 25
+LENGTH, GRAM, UNIT = 400, 32, 50
 #: The same for passages in prose: 50 short words have 200 bytes and more.
 PASSAGE = 200
+#: Equal cells that are compared in pairs, rather than sorted by the bytes around them.
+PAIRS = 64
 _FIELDS = ["low", "high", "anchor", "gram"]
 _RUNS = "_row long, runs array<struct<low int, high int, anchor int, gram long>>"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -179,6 +182,55 @@ def _part(data: str, begin: Column, size: Column) -> Column:
     return F.substring(F.col(data), begin + 1, size)
 
 
+def _paired(unit: int):
+    """From cells (run, place, name, asked, answered, before, after), sorted by name, of which at most PAIRS share one: run and
+    place of the first and the last window of each cell that is asked for and equals an answered one of an equal cell."""
+    size = unit - 1
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many first bytes agree, row by row."""
+        differs = a != b
+        return np.where(differs.any(axis=1), differs.argmax(axis=1), size)
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        name, place, asked, answered = (batch.column(c).to_numpy() for c in ("name", "place", "asked", "answered"))
+        # what is missing is outside of the run, where no window is answered
+        before = np.frombuffer(b"".join(x.rjust(size, b"\0") for x in batch.column("before").to_pylist()), np.uint8).reshape(-1, size)[:, ::-1]
+        after = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in batch.column("after").to_pylist()), np.uint8).reshape(-1, size)
+        hits = np.zeros(len(name), np.int64)
+        for by in range(1, PAIRS):
+            i = np.flatnonzero(name[by:] == name[:-by])
+            if not len(i):
+                break
+            j = i + by
+            low, high = unit - same(after[i], after[j]), same(before[i], before[j])
+            equal = np.where(low <= high, (np.int64(2) << high) - (np.int64(1) << low), 0) & answered[i] & answered[j]
+            hits[i] |= equal
+            hits[j] |= equal
+        hits &= asked
+        some = np.flatnonzero(hits)
+        hits = hits[some]
+        last, first = (np.frexp(x.astype(np.float64))[1] - 1 for x in (hits & -hits, hits))  # the least and the greatest distance
+        run = batch.column("run").take(pa.array(some))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([run, run]), pa.array(np.concatenate([place[some] - first, place[some] - last]), pa.int32())], ["run", "place"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last name's cells wait for the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            name = batch.column("name").to_numpy()
+            at = int(np.searchsorted(name, name[-1]))
+            held = batch.slice(at)
+            yield windows(batch.slice(0, at))
+        if held is not None:
+            yield windows(held)
+
+    return compared
+
+
 def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     """Spans (_row, start, end) that cover the repeated strings of `rows` (_row, data); they may overlap.
 
@@ -247,22 +299,33 @@ def repeated(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     cells = per_run.select("run", "low", "high", "anchor", "single", "least", "most", F.explode("cells").alias("c")).select("*", "c.*")
     cells = written(cells.select("run", "at", "name", asked.alias("asked")))
     # which distances anyone asks for, by the cell's rank; equal cells answer for all of them
-    wanted = written(cells.groupBy("name").agg(F.bit_or("asked").alias("wanted")).filter("wanted != 0"))
-    left = written(cells.join(wanted, "name").groupBy("run").agg(F.collect_list(F.struct("at", "name", "asked", "wanted")).alias("cells")))
+    wanted = written(cells.groupBy("name").agg(F.bit_or("asked").alias("wanted"), F.count("*").alias("n")).filter("wanted != 0"))
+    left = written(cells.join(wanted, "name").groupBy("run").agg(F.collect_list(F.struct("at", "name", "asked", "wanted", "n")).alias("cells")))
     ends = chunks.within(runs, "run", left.select("run")).join(left, "run").select("run", "low", "high", "anchor", "bytes", F.explode("cells").alias("c")).select("*", "c.*").drop("c", "cells")
-    ends = ends.select("run", "low", place.alias("place"), "name", "asked", "bytes", F.col("wanted").bitwiseAND(inside).alias("answered")).filter("answered != 0")
-    ends = ends.select("*", F.explode(F.sequence(F.lit(1), F.lit(unit - 1))).alias("e")).filter(F.col("answered").bitwiseAND(_bit(F.col("e"))) != 0)
-    rest = F.concat(_part("bytes", F.col("place") - F.col("e") - F.col("low"), F.col("e")), _part("bytes", F.col("place") + length - unit - F.col("low"), F.lit(unit) - F.col("e")))
-    open_ = F.col("asked").bitwiseAND(_bit(F.col("e"))) != 0
-    ends = ends.select("run", (F.col("place") - F.col("e")).alias("place"), open_.alias("open"), (F.col("name") * unit + F.col("e")).alias("cell"), rest.alias("rest"))
-    ends = ranked(ends, ["cell", "rest"], "run", repeats=True).filter("open").select("run", "place")
-    both = per_run.filter("single and least is not null").select("run", F.explode(F.array("least", "most")).alias("place")).unionByName(ends)
+    ends = ends.select("run", "low", place.alias("place"), "name", "n", "asked", "bytes", F.col("wanted").bitwiseAND(inside).alias("answered")).filter("answered != 0")
+    begin = F.greatest(F.col("place") - F.col("low") - (unit - 1), F.lit(0))
+    sides = [_part("bytes", begin, F.col("place") - F.col("low") - begin).alias("before"), _part("bytes", F.col("place") + length - unit - F.col("low"), F.lit(unit - 1)).alias("after")]
+    paired = ends.filter(F.col("n") <= PAIRS).select("run", "place", "name", "asked", "answered", *sides)
+    paired = paired.repartition(partitions(spark), "name").sortWithinPartitions("name").mapInArrow(_paired(unit), "run long, place int")
+    both = per_run.filter("single and least is not null").select("run", F.explode(F.array("least", "most")).alias("place")).unionByName(paired)
+    if not wanted.filter(F.col("n") > PAIRS).isEmpty():
+        both = both.unionByName(_sorted_ends(ends.filter(F.col("n") > PAIRS), length, unit))
     spans = both.groupBy("run").agg(F.min("place").alias("start"), (F.max("place") + length).alias("end")).join(per_run.select("run", "_row"), "run").select("_row", "start", "end")
     out = written(copies.unionByName(whole).unionByName(spans))
     release(spark)
     return out
 
 
+def _sorted_ends(ends: DataFrame, length: int, unit: int) -> DataFrame:
+    """run and place of the windows that `ends` (cells with run, low, place, name, asked, answered, bytes) ask for and that are
+    repeated, by a sort of all answered windows."""
+    ends = ends.select("*", F.explode(F.sequence(F.lit(1), F.lit(unit - 1))).alias("e")).filter(F.col("answered").bitwiseAND(_bit(F.col("e"))) != 0)
+    rest = F.concat(_part("bytes", F.col("place") - F.col("e") - F.col("low"), F.col("e")), _part("bytes", F.col("place") + length - unit - F.col("low"), F.lit(unit) - F.col("e")))
+    open_ = F.col("asked").bitwiseAND(_bit(F.col("e"))) != 0
+    ends = ends.select("run", (F.col("place") - F.col("e")).alias("place"), open_.alias("open"), (F.col("name") * unit + F.col("e")).alias("cell"), rest.alias("rest"))
+    return ranked(ends, ["cell", "rest"], "run", repeats=True).filter("open").select("run", "place")
+
+
 def merged(sizes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of several rows (so many each) merged where they meet: the same three arrays."""
     row = np.repeat(np.arange(len(sizes)), sizes)
