@@ -56,3 +56,17 @@ def test_many_links_are_shuffled_with_the_same_result(spark, monkeypatch):
         monkeypatch.setattr(module, "FEW", 0)
     links = written(spark.createDataFrame(LINKS, "a long, b long"))
     assert {r.node: r.root for r in near_text._joined(None, links).collect()} == ROOTS
+
+
+def test_few_pairs_are_compared_in_few_tasks(spark, counted):
+    texts = [" ".join(f"w{i}" for i in range(k, k + 40)) for k in (0, 1, 30, 2, 90)]
+    rows = written(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_row long, data binary"))
+    sets = [near_text.shingles(t.encode()) for t in texts]
+    marks = written(spark.createDataFrame([(i, len(s), near_text.parities(s)) for i, s in enumerate(sets)], "_row long, size long, mark binary"))
+    pairs = written(spark.createDataFrame([(a, b) for a in range(5) for b in range(a)], "a long, b long"))
+    want = {(a, b) for a in range(5) for b in range(a) if near_text.similar(sets[a], sets[b])}
+    with counted() as tasks:
+        tried = near_text._plausible(pairs, marks, near_text.SIMILARITY)
+        found = near_text._checked(rows, tried, near_text.WORDS, near_text.SIMILARITY)
+    assert {tuple(r) for r in found.collect()} == want == {(1, 0), (3, 0), (3, 1)}
+    assert 0 < tasks[0] < MANY  # before: two shuffles each for marks and texts
